@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,44 +39,41 @@ NAME_CUES = (
     r"my name is|i am|i'm|this is|signed,?|contact|ask for|according to|thanks to|comment by|written by|i met|it was|knows that|mein name ist|ich heiße|frag einfach nach|je m'appelle|demande à|me llamo|mi nombre es|pregunta por"
     r"|meu nome é|me chamo|fale com|меня зовут|мне написала?|author\": \"|--\n"
 )
-TITLES = r"mr|mrs|ms|miss|mx|dr|prof|herr|frau|mme|mlle|monsieur|madame|señora?|sra?|don|doña|dona|senhora?|г-н|г-жа|господин|госпожа"
+TITLES = r"mr|mrs|ms|(?-i:Miss)|mx|dr|prof|doctora?|docteure?|professora?|profesora?|herr|frau|mme|mlle|monsieur|madame|señora?|sra?|don|doña|dona|senhora?|г-н|г-жа|господин|госпожа"
 HAN_NAME_CUES = r"我叫|我是|联系人[:：]|姓名[:：]|署名[:：]"
 TLDS = r"com|org|net|edu|gov|info|io|int|example|test|invalid|de|fr|es|pt|br|ru|cn|uk|eu"
 
 _W = r"[^\W\d_一-鿿]"
 _WORD = re.compile(rf"{_W}+(?:['’]{_W}+)?")
 _NAME_WORD = re.compile(rf"{_W}{{2,}}(?:-{_W}{{2,}})*")
-_INITIAL = re.compile(rf"(?<![\w.@]){_W}\. ?(?={_W}{{3,}})")
 _BETWEEN = re.compile(rf"[ \xa0](?:{_W}\.[ \xa0])?$")
-_NAME_CUE = re.compile(rf"(?:^|(?<=\W))(?:{NAME_CUES})[ :]*$", re.I)
-_TITLE = re.compile(rf"(?<!\w)(?:{TITLES})\.?[ \xa0]+$", re.I)
-_FRENCH_TITLE = re.compile(r"(?<!\w)M\.[ \xa0]+$")
+_MAIL_CHARS = frozenset("@_＠+")
+_N = _NAME_WORD.pattern
+_INITIALED = re.compile(rf"(?<![\w.@]){_W}\. ?(?P<name>{_W}{{3,}}(?:-{_W}{{2,}})*)")
+_CUED_PAIR = re.compile(rf"(?:^|(?<=\W))(?:{NAME_CUES})[ :]*(?P<one>{_N})(?P<gap>[ \xa0](?:{_W}\.[ \xa0])?|, )(?P<two>{_N})", re.I)
+_TITLED = re.compile(rf"(?<!\w)(?:{TITLES})\.?[ \xa0]+(?P<name>{_W}{{3,}}(?:-{_W}{{2,}})*)", re.I)
+_FRENCH_TITLED = re.compile(rf"(?<!\w)M\.[ \xa0]+(?P<name>{_W}{{3,}}(?:-{_W}{{2,}})*)")
 _FRENCH = re.compile(r"\b(?:le|la|les|est|et|je|mon|ma|une?|des|du|pour)\b", re.I)
 _ENGLISH = re.compile(r"\b(?:the|and|of|to|my|is|for|at|in|on)\b", re.I)
 _HAN_NAME = re.compile(rf"(?:{HAN_NAME_CUES})([一-鿿]{{2,4}})(?![一-鿿])")
 _HAN_TITLED = re.compile(r"(?<![一-鿿])([一-鿿])(?:先生|女士|小姐|老师)")
 
-_EMAIL = re.compile(
-    rf"(?<![\w.+%-])[\w.+%-]*[^\W_][\w+%-]*(?:\s?[@＠]\s?|\s?[(\[]\s?at\s?[)\]]\s?| at )(?:[^\W_][\w-]*(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?| dot ))+[a-z]{{2,12}}\b"
-    rf"|(?<![\w.+%-])[\w.+%-]*?[^\W_]at[a-z][\w-]*?(?:dot[\w-]+?)*dot(?:{TLDS})\b",
-    re.I,
-)
+_MAIL_SIGN = re.compile(r"(?:\s?[@＠]\s?|\s?[(\[]\s?at\s?[)\]]\s?| at )(?:[^\W_][\w-]*(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?| dot ))+[a-z]{2,12}\b", re.I)
+_LOCAL_PART = re.compile(r"(?<![\w.+%-])[\w.+%-]*[^\W_][\w+%-]*$")
+_GLUED_MAIL = re.compile(rf"(?<![\w.+%-])[\w.+%-]*?[^\W_]at[a-z][\w-]*?(?:dot[\w-]+?)*dot(?:{TLDS})\b", re.I)
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
-_ADDRESS = re.compile(
-    "|".join(
-        (
-            rf"(?<![\w.,-])\d{{1,5}}[a-zA-Z]? (?:{_CAP} ){{1,3}}(?i:street|st|avenue|ave|road|rd|lane|ln|drive|court|ct|terrace|boulevard|blvd|place|square|sq|way|crescent|close|row|parkway)\b",
-            r"(?i:\bp\.? ?o\.? ?box \d+|\bpostfach \d+|\bapartado(?: de correos)? \d+|\bbo[îi]te postale \d+|\bB\.?P\.? \d+|\bcaixa postal \d+)|(?<!\w)а/я \d+|信箱\d+号?",
-            r"\b[A-ZÄÖÜ][\w-]*(?i:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|steig) ?\d+[a-z]?\b|\b[A-ZÄÖÜ][\w-]+ (?i:straße|strasse|str\.|weg|platz|gasse|allee|ring) \d+",
-            rf"(?<![\w-])\d{{1,4}}[a-z]?(?: bis| ter)?,? (?i:rue|avenue|allée|impasse|boulevard|place|chemin|quai|cours|route|square|passage) (?:(?i:de la|de l['’]|des|du|de|d['’]|l['’]) ?)?{_CAP}",
-            rf"(?<!\w)(?i:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|carretera|ronda|rua|travessa|praça|largo|alameda|estrada) ?(?:(?i:de la|de los|de las|del|das|dos|da|do|de) )?{_CAP}(?: {_CAP})*,? (?:n\.?º ?)?\d+",
-            r"(?<!\w)(?i:ул(?:ица|\.)|пер(?:еулок|\.)|пр(?:оспект|-т|осп\.|\.)|пл(?:ощадь|\.)|наб(?:ережная|\.)|шоссе|бульвар) [А-ЯЁ][\w-]+,? (?:(?i:д(?:ом|\.)) ?)?\d+|(?<!\w)[А-ЯЁ][\w-]+ (?i:улица|переулок|проспект|шоссе|бульвар),? (?:(?i:д(?:ом|\.)) ?)?\d+",
-            r"[一-鿿]{2}(?:路|街|巷|大道|胡同|弄)\d+号",
-        )
-    )
+#: Forms of postal addresses, each with the lower-case strings of which a text of that form holds one.
+_ADDRESSES = (
+    ((" st", " ave", " road", " rd", " lane", " ln", " drive", " court", " ct", " terrace", " boulevard", " blvd", " place", " square", " sq", " way", " crescent", " close", " row", " parkway"), re.compile(rf"(?<![\w.,-])\d{{1,5}}[a-zA-Z]? (?:{_CAP} ){{1,3}}(?i:street|st|avenue|ave|road|rd|lane|ln|drive|court|ct|terrace|boulevard|blvd|place|square|sq|way|crescent|close|row|parkway)\b")),
+    (("box", "postfach", "apartado", "postale", "bp", "b.p", "postal", "а/я", "信箱"), re.compile(r"(?i:\bp\.? ?o\.? ?box \d+|\bpostfach \d+|\bapartado(?: de correos)? \d+|\bbo[îi]te postale \d+|\bB\.?P\.? \d+|\bcaixa postal \d+)|(?<!\w)а/я \d+|信箱\d+号?")),
+    (("straße", "strasse", "str.", "weg ", "platz ", "gasse ", "allee ", "ring ", "damm ", "ufer ", "steig "), re.compile(r"\b[A-ZÄÖÜ][\w-]*(?i:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|steig) ?\d+[a-z]?\b|\b[A-ZÄÖÜ][\w-]+ (?i:straße|strasse|str\.|weg|platz|gasse|allee|ring) \d+")),
+    ((" rue", " avenue", " allée", " impasse", " boulevard", " place", " chemin", " quai", " cours", " route", " square", " passage"), re.compile(rf"(?<![\w-])\d{{1,4}}[a-z]?(?: bis| ter)?,? (?i:rue|avenue|allée|impasse|boulevard|place|chemin|quai|cours|route|square|passage) (?:(?i:de la|de l['’]|des|du|de|d['’]|l['’]) ?)?{_CAP}")),
+    (("calle", "c/", "avenida", "avda", "av.", "plaza", "paseo", "camino", "carretera", "ronda", "rua ", "travessa", "praça", "largo", "alameda", "estrada"), re.compile(rf"(?<!\w)(?i:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|carretera|ronda|rua|travessa|praça|largo|alameda|estrada) ?(?:(?i:de la|de los|de las|del|das|dos|da|do|de) )?{_CAP}(?: {_CAP})*,? (?:n\.?º ?)?\d+")),
+    (("ул", "пер", "пр", "пл", "наб", "шоссе", "бульвар"), re.compile(r"(?<!\w)(?i:ул(?:ица|\.)|пер(?:еулок|\.)|пр(?:оспект|-т|осп\.|\.)|пл(?:ощадь|\.)|наб(?:ережная|\.)|шоссе|бульвар) [А-ЯЁ][\w-]+,? (?:(?i:д(?:ом|\.)) ?)?\d+|(?<!\w)[А-ЯЁ][\w-]+ (?i:улица|переулок|проспект|шоссе|бульвар),? (?:(?i:д(?:ом|\.)) ?)?\d+")),
+    (("号",), re.compile(r"[一-鿿]{2}(?:路|街|巷|大道|胡同|弄)\d+号")),
 )
-_PART = r"(?:[A-Z]{0,3}\d+(?:[A-Z]+\d+)*[A-Z]?|\(\+?\d+\)|[A-Z])(?![^\W一-鿿])"
-_NUMBER = re.compile(rf"(?<![^\W一-鿿])(?<![/@＠#=&?%+\-_.])(?<!\d[.,:])(?:(?!ID|NO|NR|PO)[A-Z]{{2}} (?=\d)|[A-Z]-(?=\d))?\(?\+?{_PART}(?:(?:[ .\-/\xa0]|(?<=\)))(?:{_PART}))*")
+_PART = r"(?:(?:[A-Z]{0,3}\d+(?:[A-Z]+\d+)*[A-Z]?|[A-Z])(?![^\W一-鿿])|\(\+?\d+\))"
+_NUMBER = re.compile(rf"(?<![^\W一-鿿])(?<![/@＠#=&?%+\-_.])(?<!\d[.,:])(?:(?!ID|NO|NR|PO)[A-Z]{{2}} (?=\d)|[A-Z]-(?=\d))?\+?{_PART}(?:(?:[ .\-/\xa0]|(?<=\))|(?=\())(?:{_PART}))*")
 _PHONE_CUE = re.compile(rf"(?:^|(?<=\W)|(?<=[一-鿿]))(?:{PHONE_CUES})\.?[\s:：(]*$", re.I)
 _ID_CUE = re.compile(rf"(?:^|(?<=\W)|(?<=[一-鿿]))(?:{ID_CUES})[\s:：(]*(?:n[r.º°]*\s*)?$", re.I)
 
@@ -94,53 +91,75 @@ def numbers(text: str) -> Iterator[tuple[int, int, str]]:
         tail = re.search(r"[ \xa0](?:\d{1,2}|[A-Z])$", value)
         if tail and re.match(r"[ '’][a-zа-я]", text[end : end + 2]) and sum(c.isdigit() for c in value[: tail.start()]) >= 7:
             value, end = value[: tail.start()], start + tail.start()
-        if value.startswith("(") and ")" not in value:
-            value, start = value[1:], start + 1
         digits = sum(c.isdigit() for c in value)
         if digits >= 7 or digits >= 5 and sum(c.isalnum() for c in value) >= 8:
             yield start, end, shape(value)
 
 
+def addresses(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of e-mail and postal addresses."""
+    for m in _MAIL_SIGN.finditer(text):
+        local = _LOCAL_PART.search(text, max(0, m.start() - 80), m.start())
+        if local:
+            yield "email", local.start(), m.end()
+    low = text.lower()
+    if "dot" in low:
+        for m in _GLUED_MAIL.finditer(text):
+            yield "email", m.start(), m.end()
+    for needs, pattern in _ADDRESSES:
+        if any(x in low for x in needs):
+            for m in pattern.finditer(text):
+                yield "address", m.start(), m.end()
+
+
 def number_cue(text: str, start: int) -> str | None:
     before = text[max(0, start - 40) : start]
     return "phone" if _PHONE_CUE.search(before) else "id_number" if _ID_CUE.search(before) else None
 
 
-def _capital(word: str) -> bool:
-    return word[:1].isupper()
-
-
-def name_pairs(text: str) -> Iterator[tuple[int, int, str, str, bool, bool]]:
-    """(start, end, given, family, cue, titled): what has the form of a name; given is empty for an initial or a title."""
-    words = [(m.start(), m.end(), m.group()) for m in _NAME_WORD.finditer(text)]
-    french = None
-    for k, (a, b, w) in enumerate(words):
-        before = text[max(0, a - 30) : a]
-        if before[-1:] in "@_＠.+" and before[-1:]:
+def cued_names(text: str) -> Iterator[tuple[str, str]]:
+    """(given, family) of names in title case that a cue announces; given is empty for a title."""
+    for m in _CUED_PAIR.finditer(text):
+        given, family = (m["one"], m["two"]) if m["gap"] != ", " else (m["two"], m["one"])
+        if given[:2].istitle() and family[:2].istitle():
+            yield given, family
+    for m in _TITLED.finditer(text):
+        if m["name"][:2].istitle():
+            yield "", m["name"]
+
+
+def titled_names(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, family) of family names behind a title."""
+    for m in _TITLED.finditer(text):
+        if m["name"][:1].isupper():
+            yield m.start("name"), m.end("name"), m["name"]
+    if "M." in text and _is_french(text):
+        for m in _FRENCH_TITLED.finditer(text):
+            yield m.start("name"), m.end("name"), m["name"]
+
+
+def _is_french(text: str) -> bool:
+    return len(_FRENCH.findall(text)) > len(_ENGLISH.findall(text))
+
+
+def name_pairs(text: str, is_given: Callable[[str], bool], is_family: Callable[[str], bool]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, given, family): a possible given name beside another word; given is empty for an initial or a lone family name."""
+    for m in _INITIALED.finditer(text):
+        yield m.start(), m.end(), "", m["name"]
+    words = [m.span() for m in _NAME_WORD.finditer(text)]
+    for k, (a, b) in enumerate(words):
+        if b - a > 4 and text[a].isupper() and is_family(text[a:b]) and text[b : b + 1] not in _MAIL_CHARS:
+            yield a, b, "", text[a:b]
+        if not is_given(text[a:b]) or text[b : b + 1] in _MAIL_CHARS or a and text[a - 1] in _MAIL_CHARS:
             continue
-        if len(w) > 2 and (before.endswith((" ", "\xa0"))):
-            if _TITLE.search(before) and _capital(w):
-                yield a, b, "", w, True, True
-            elif _FRENCH_TITLE.search(before) and _capital(w):
-                if french is None:
-                    french = len(_FRENCH.findall(text[:2000])) > len(_ENGLISH.findall(text[:2000]))
-                if french:
-                    yield a, b, "", w, True, True
-        i = _INITIAL.search(text, max(0, a - 3), a + 4)
-        if i and i.end() == a and len(w) > 2 and not (french and text[i.start() : i.start() + 2] == "M."):
-            yield i.start(), b, "", w, bool(_NAME_CUE.search(text[max(0, i.start() - 30) : i.start()])), False
         if k + 1 < len(words):
-            c, d, v = words[k + 1]
-            gap = text[b:c]
-            if len(gap) > 4 or text[d : d + 1] in ("@", "_", "＠"):
-                continue
-            cue = bool(_NAME_CUE.search(before))
-            if _BETWEEN.match(gap):
-                yield a, d, w, v, cue, False
-                if len(gap) == 1:
-                    yield a, d, v, w, False, False
-            elif gap == ", ":
-                yield a, d, v, w, cue, False
+            c, d = words[k + 1]
+            if c - b <= 4 and _BETWEEN.match(text, b, c) and text[d : d + 1] not in _MAIL_CHARS:
+                yield a, d, text[a:b], text[c:d]
+        if k:
+            c, d = words[k - 1]
+            if text[d:a] in (" ", "\xa0", ", ") and (not c or text[c - 1] not in _MAIL_CHARS):
+                yield c, b, text[a:b], text[c:d]
 
 
 def _first(word: str) -> str:
@@ -149,7 +168,7 @@ def _first(word: str) -> str:
 
 def _affixes(word: str) -> tuple[str, str]:
     last = word.split("-")[0].lower()
-    return "^" + last[:4], last[-4:] + "$"
+    return "^" + last[:4], last[-3:] + "$"
 
 
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -173,9 +192,7 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     cue = number_cue(text, start)
                     if cue:
                         hits.setdefault(("d", form), [0, 0])[cue == "id_number"] += 1
-                for _, _, given, family, cue, _ in name_pairs(text) if _may_hold_names(text) else ():
-                    if not cue or not (_capital(family) and (not given or _capital(given))):
-                        continue
+                for given, family in cued_names(text):
                     if given:
                         hits.setdefault(("w", _first(given)), [0, 0])[0] += 1
                     hits.setdefault(("w", _first(family)), [0, 0])[1] += 1
@@ -206,13 +223,6 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("space", "term").agg(*(F.sum(c).alias(c) for c in "nab"))
 
 
-_ANY_NAME_CUE = re.compile(rf"(?:^|(?<=\W))(?:(?:{NAME_CUES})|(?:{TITLES}|m)\b)", re.I)
-
-
-def _may_hold_names(text: str) -> bool:
-    return _ANY_NAME_CUE.search(text) is not None
-
-
 def disclosure(counts: DataFrame) -> DataFrame:
     """(space, term, bits_a, bits_b) of the terms that stand beside cues: what they reveal, in bits, about either entity."""
     whole = counts.groupBy().agg(*(F.sum(F.when((F.col("space") == s) & (F.col(c) > 0), F.col(c))).alias(f"{s}{c}") for s in "wxd" for c in "ab"), F.sum(F.when(F.col("space") != "x", F.col("n"))).alias("all"))
@@ -230,7 +240,7 @@ def _slot(word: str) -> int:
 
 
 def _filter_of(terms: DataFrame) -> np.ndarray:
-    """Bits of the words that may be given names; false hits are settled by the join that follows."""
+    """Bits of the words and affixes that may be of names; false hits are settled by the join that follows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
@@ -240,7 +250,7 @@ def _filter_of(terms: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(bits))], names=["slot"])
 
     # at most 2**FILTER_BITS rows
-    slots = terms.where(f"space = 'w' AND bits_a >= {NAME_BITS}").select("term").mapInArrow(run, "slot bigint").distinct().toArrow().column("slot").to_numpy()
+    slots = terms.where(f"(space = 'w' AND bits_a >= {NAME_BITS}) OR (space = 'x' AND bits_b >= 0)").select("term").mapInArrow(run, "slot bigint").distinct().toArrow().column("slot").to_numpy()
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[slots] = True
     return np.packbits(bits)
@@ -252,14 +262,29 @@ def candidates(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Dat
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).astype(bool)
+        given, family = {}, {}
+
+        def is_given(word: str) -> bool:
+            got = given.get(word)
+            if got is None:
+                got = given[word] = bool(bits[_slot(_first(word))])
+            return got
+
+        def is_family(word: str) -> bool:
+            got = family.get(word)
+            if got is None:
+                got = family[word] = all(bits[_slot(x)] for x in _affixes(word))
+            return got
+
         for batch in batches(rows):
             out: list[tuple] = []
-            known: dict[str, bool] = {}
+            for seen in (given, family):
+                if len(seen) > 200_000:
+                    seen.clear()
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                out += [(i, "email", m.start(), m.end(), None, None, None, True) for m in _EMAIL.finditer(text)] if re.search(r"@|＠|at", text, re.I) else []
-                out += [(i, "address", m.start(), m.end(), None, None, None, True) for m in _ADDRESS.finditer(text)]
+                out += [(i, kind, a, b, None, None, None, True) for kind, a, b in addresses(text)]
                 for start, end, form in numbers(text):
                     cue = number_cue(text, start)
                     out.append((i, cue or "number", start, end, None, None, form, cue is not None))
@@ -267,17 +292,9 @@ def candidates(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Dat
                     out.append((i, "name", m.start(1), m.end(1), None, None, None, True))
                 for m in _HAN_TITLED.finditer(text):
                     out.append((i, "name", m.start(1), m.end(1), None, None, None, True))
-                for a, b, given, family, cue, titled in name_pairs(text):
-                    if titled:
-                        out.append((i, "name", a, b, None, None, None, True))
-                    elif not given:
-                        out.append((i, "name", a, b, None, family.lower(), None, cue))
-                    else:
-                        g = _first(given)
-                        if g not in known:
-                            known[g] = bool(bits[_slot(g)])
-                        if known[g]:
-                            out.append((i, "name", a, b, g, family.lower(), None, cue))
+                out += [(i, "name", a, b, None, None, None, True) for a, b, _ in titled_names(text)]
+                for a, b, g, f in name_pairs(text, is_given, is_family):
+                    out.append((i, "name", a, b, _first(g) or None, f.lower(), None, False))
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "kind", "start_char", "end_char", "given", "family", "form", "cue"])
@@ -300,7 +317,7 @@ def findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     named = found.where("kind = 'name' AND family IS NOT NULL")
     first = F.split_part("family", F.lit("-"), F.lit(1))
     named = (
-        named.withColumns({"term_f": first, "term_p": F.concat(F.lit("^"), F.left(first, F.lit(4))), "term_s": F.concat(F.right(first, F.lit(4)), F.lit("$"))})
+        named.withColumns({"term_f": first, "term_p": F.concat(F.lit("^"), F.left(first, F.lit(4))), "term_s": F.concat(F.right(first, F.lit(3)), F.lit("$"))})
         .join(words.select(F.col("term").alias("given"), F.col("bits_a").alias("given_bits")), "given", "left")
         .join(words.select(F.col("term").alias("term_f"), F.col("bits_b").alias("family_bits")), "term_f", "left")
         .join(terms.where("space = 'x'").select(F.col("term").alias("term_p"), F.col("bits_b").alias("prefix_bits")), "term_p", "left")
