@@ -1,3 +1,3 @@
 """Queries, by area; importing a module registers its queries."""
 
-from loomtext.plans import text_queries  # noqa: F401
+from loomtext.plans import corpus_queries, text_queries  # noqa: F401

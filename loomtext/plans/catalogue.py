@@ -12,6 +12,17 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+def _counts(sql: str) -> str:
+    """count_if as a count, which DuckDB gives as BIGINT."""
+    while (at := sql.find("count_if(")) >= 0:
+        end, depth = at + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(CASE WHEN {sql[at + len('count_if('):end - 1]} THEN 1 END){sql[end:]}"
+    return sql
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Add a query, with the SQL that DuckDB runs on the same tables where there is one."""
 
@@ -20,7 +31,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"two queries are called {name}")
         _QUERIES[name] = query
         if sql is not None:
-            _SQL[name] = sql
+            _SQL[name] = _counts(sql)
         return query
 
     return add

@@ -13,10 +13,14 @@ from loomtext.session import table
 W = X.WHITE
 TYPES = "|".join(X.MBTI_TYPES)
 #: The cleaning in SQL, without the normal form, which DuckDB lacks.
-SQL_CLEAN = rf"""trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, '{X.URL}', ' ', 'g'), '{X.MENTION}', ' ', 'g'), '|||', ' '),
+def sql_clean(x: str) -> str:
+    return rf"""trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({x}, '{X.URL}', ' ', 'g'), '{X.MENTION}', ' ', 'g'), '|||', ' '),
     '(?i)\b({TYPES})(s|es)?\b', '', 'g'), '([!?.]){{2,}}', '\1', 'g'), '{W}+', ' ', 'g'), ' ')"""
 
 
+SQL_CLEAN = sql_clean("text")
+
+
 def sql_words(x: str) -> str:
     return f"list_filter(string_split_regex({x}, '{W}+'), lambda w: w <> '')"
 
