@@ -24,15 +24,15 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str, block: int) -> DataFrame:
     """(query id, vector id, score): the best k of each query within each batch of vectors.
 
-    Queries go out in blocks; every block meets every partition of the vectors once, by a join on a salt that
-    replicates blocks, not rows: vectors are grouped into batches, and a block is a few thousand query rows.
+    The stated queries are sent to every partition and kept there; the vectors stream past them in Arrow batches, which
+    are multiplied with blocks of queries.
     """
     vid, vec = vectors.columns
     qid, q = queries.columns
     spark = vectors.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    left = vectors.select(F.pmod(F.xxhash64(vid), F.lit(parts)).alias("part"), F.lit(0).alias("side"), F.col(vid).alias("id"), vec)
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("bigint").alias("part"), F.lit(1).alias("side"), F.col(qid).alias("id"), F.col(q).alias(vec))
+    left = vectors.select(F.pmod(F.xxhash64(vid), F.lit(parts)).alias("part"), F.lit(1).alias("side"), F.col(vid).alias("id"), vec)
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), F.lit(0).alias("side"), F.col(qid).alias("id"), F.col(q).alias(vec))
     both = left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "side")
 
     def search(v: np.ndarray, ids: list, qs: np.ndarray, q_ids: list) -> Iterator[pa.RecordBatch]:
@@ -64,8 +64,8 @@ def blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str,
                     kept.append(m[ok])
                     kept_ids += ids
                 elif kept_ids:
-                    v = np.concatenate(kept)
-                    for start in range(0, len(ids), block):
-                        yield from search(v, kept_ids, m[ok][start : start + block], ids[start : start + block])
+                    asked = np.concatenate(kept)
+                    for start in range(0, len(kept_ids), block):
+                        yield from search(m[ok], ids, asked[start : start + block], kept_ids[start : start + block])
 
     return both.mapInArrow(run, f"{qid} bigint, {vid} bigint, score double")
