@@ -29,9 +29,9 @@ def encode_with_vocabulary(docs: DataFrame, size: int, length: int, id_col: str
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_df: int = 3, max_df: float = 0.95) -> DataFrame:
     """(id_col, term, weight): L2-normed (1 + ln tf) (ln((1 + n) / (1 + df)) + 1) of words and word pairs."""
-    t = X.tokens(text_col)
+    t = F.col("_t")
     pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.expr("cast(array() as array<string>)"))
-    whole = docs.where(F.col(text_col).isNotNull())
+    whole = docs.where(F.col(text_col).isNotNull()).select(id_col, X.tokens(text_col).alias("_t"))
     tf = whole.select(id_col, F.explode(F.concat(t, pairs)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     n = whole.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))  # n is one row
