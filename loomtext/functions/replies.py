@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import strip
@@ -18,10 +18,14 @@ def extract_json(c: Column) -> Column:
     return F.when(found != "", found).otherwise(bare)
 
 
-def salvage(c: Column, schema: str) -> Column:
-    """The objects of a reply: those of its list, else each {...} that parses; an empty array for none."""
-    whole = F.from_json(extract_json(c), f"array<{schema}>")
-    single = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)\{.*?\}"), F.lit(0)), lambda s: F.from_json(s, schema))
+def salvaged(df: DataFrame, reply: str, schema: str, into: str) -> DataFrame:
+    """df with `into`: the objects of a reply, those of its list, else each {...} that parses; an empty array for none.
+
+    Step by step, so that each part is read once.
+    """
     ok = lambda a: F.filter(a, lambda x: x.isNotNull())
-    listed = F.when(F.startswith(extract_json(c), F.lit("[")), ok(whole))
-    return F.coalesce(F.when(F.size(listed) > 0, listed), ok(single), F.expr(f"cast(array() as array<{schema}>)"))
+    empty = F.expr(f"cast(array() as array<{schema}>)")
+    read = df.withColumn("_json", extract_json(F.col(reply)))
+    listed = read.withColumn("_list", F.when(F.startswith("_json", F.lit("[")), ok(F.from_json("_json", f"array<{schema}>"))))
+    single = ok(F.transform(F.regexp_extract_all(F.col(reply), F.lit(r"(?s)\{.*?\}"), F.lit(0)), lambda s: F.from_json(s, schema)))
+    return listed.withColumn(into, F.when(F.size("_list") > 0, F.col("_list")).otherwise(F.coalesce(single, empty))).drop("_json", "_list")

@@ -60,9 +60,10 @@ def rule_evidence(docs: DataFrame, lexicon: tuple[str, ...], k: int = 5) -> Data
 
 def read_evidence(answered: DataFrame) -> DataFrame:
     """(doc_id, evidence): objects with a quote; the behaviour is general where it is missing."""
-    items = F.filter(replies.salvage(F.col("reply"), EVIDENCE), lambda e: F.coalesce(e["quote"], F.lit("")) != "")
+    read = replies.salvaged(answered, "reply", EVIDENCE, "items")
+    items = F.filter("items", lambda e: F.coalesce(e["quote"], F.lit("")) != "")
     whole = F.transform(items, lambda e: F.struct(e["quote"].alias("quote"), e["sentence_idx"].alias("sentence_idx"), F.coalesce(e["behavior_type"], F.lit("general")).alias("behavior_type")))
-    return answered.select("doc_id", whole.alias("evidence"))
+    return read.select("doc_id", whole.alias("evidence"))
 
 
 def states(evidence: DataFrame) -> DataFrame:

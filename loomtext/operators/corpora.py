@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import labels as L
 from loomtext.functions import text as X
+from loomtext.session import written
 
 
 def forum_records(rows: DataFrame, min_words: int = 10, id_col: str = "row_id") -> DataFrame:
@@ -54,7 +55,7 @@ def author_records(comments: DataFrame, profiles: DataFrame, per_author: int = 1
     The limit is applied before the shuffle too, so an author with a large share of all rows is no hot spot.
     """
     authors = eligible_authors(profiles)
-    usable = usable_comments(comments, authors)
+    usable = written(usable_comments(comments, authors), "usable")  # cleaned once, read for totals and sample
     totals = usable.groupBy("author").agg(F.count("*").alias("n_total"))
     order = Window.partitionBy("author").orderBy(F.md5(F.col("comment_id").cast("string")), "comment_id")
     chosen = usable.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_author)

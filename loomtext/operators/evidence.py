@@ -10,9 +10,10 @@ from loomtext.functions import text as X
 
 def scored_sentences(docs: DataFrame, lexicon: tuple[str, ...] = X.LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, sentence_idx, sentence, score, matched): null and empty texts have no sentences."""
-    each = docs.select(id_col, F.posexplode(X.sentences(text_col)).alias("sentence_idx", "sentence"))
-    matched = F.array_sort(F.array_intersect(F.array_distinct(X.tokens("sentence")), F.array(*map(F.lit, lexicon))))
-    return each.select(id_col, F.col("sentence_idx").cast("bigint").alias("sentence_idx"), "sentence", X.keyword_score("sentence", lexicon).alias("score"), F.array_join(matched, " ").alias("matched"))
+    each = docs.select(id_col, F.posexplode(X.sentences(text_col)).alias("sentence_idx", "sentence")).withColumn("own", F.array_distinct(X.tokens("sentence")))
+    hit = each.withColumn("hits", F.array_intersect("own", F.array(*map(F.lit, lexicon))))
+    score = F.least(F.lit(1.0), 10.0 * F.size("hits") / F.greatest(F.size("own"), F.lit(1)))
+    return hit.select(id_col, F.col("sentence_idx").cast("bigint").alias("sentence_idx"), "sentence", score.alias("score"), F.array_join(F.array_sort("hits"), " ").alias("matched"))
 
 
 def top_sentences(scored: DataFrame, k: int = 3, id_col: str = "doc_id") -> DataFrame:

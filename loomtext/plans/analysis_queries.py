@@ -22,13 +22,13 @@ _SCORES = f"""SELECT doc_id, sentence_idx, sentence, least(1.0, 10.0 * len(list_
 
 @register("evidence_topk", f"SELECT doc_id, sentence_idx, sentence, round(score, 6) AS score, matched, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence_idx) AS rank FROM ({_SCORES})) WHERE rank <= 3")
 def evidence_topk(spark: SparkSession, d: str) -> DataFrame:
-    top = evidence.top_sentences(evidence.scored_sentences(table(spark, d, "documents"), WORDS))
+    top = evidence.top_sentences(evidence.scored_sentences(table(spark, d, "documents", True), WORDS))
     return top.withColumn("score", F.round("score", 6))
 
 
 @register("evidence_blend", f"SELECT doc_id, sentence_idx, round(0.7 * least(len({sql_words('sentence')}) / 40.0, 1.0) + 0.3 * score, 6) AS score FROM ({_SCORES})")
 def evidence_blend(spark: SparkSession, d: str) -> DataFrame:
-    keyword = evidence.scored_sentences(table(spark, d, "documents"), WORDS)
+    keyword = evidence.scored_sentences(table(spark, d, "documents", True), WORDS)
     by_length = keyword.withColumn("score", F.least(X.word_count("sentence") / 40.0, F.lit(1.0)))
     return evidence.blended(by_length, keyword).select("doc_id", "sentence_idx", F.round("score", 6).alias("score"))
 
@@ -43,7 +43,7 @@ _SQ = f"trim(regexp_replace({{}}, '{W}+', ' ', 'g'), ' ')".replace("{}", "@")
 )
 def leaked_quotes(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of the corpus that stand verbatim in a chunk of the knowledge base."""
-    sentences = table(spark, d, "documents").select("doc_id", F.explode(X.sentences("text")).alias("sentence"))
+    sentences = table(spark, d, "documents", True).select("doc_id", F.explode(X.sentences("text")).alias("sentence"))
     found = containment.contained(sentences, table(spark, d, "kb_chunks"), "doc_id", "sentence", "chunk_id", "text")
     return found.distinct()
 
@@ -311,6 +311,6 @@ def resume_anti(spark: SparkSession, d: str) -> DataFrame:
         SELECT doc_id, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS k FROM u) WHERE k <= 5""",
 )
 def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
-    weights = features.tfidf(table(spark, d, "documents")).select("doc_id", F.col("term").alias("chunk_id"), F.round("weight", 9).alias("score"))
+    weights = features.tfidf(table(spark, d, "documents", True)).select("doc_id", F.col("term").alias("chunk_id"), F.round("weight", 9).alias("score"))
     return retrieval.top_k(weights, 5, "doc_id").select("doc_id", F.col("chunk_id").alias("term"), F.round("score", 6).alias("weight"))
 

@@ -23,7 +23,7 @@ def split_of(column: str = "split"):
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").withColumn("split", split_of())
+    return table(spark, d, "documents", True).withColumn("split", split_of())
 
 
 _FORUM = rf"""SELECT row_id, 'mbti_' || substr(md5(posts), 1, 8) AS id, array_to_string(kept, ' ') AS text, label_mbti, len(kept)::BIGINT AS n_posts,
@@ -67,7 +67,7 @@ def eligible_authors(spark: SparkSession, d: str) -> DataFrame:
         JOIN (SELECT author, count(*) AS n_total FROM u GROUP BY author) USING (author) JOIN a USING (author)""",
 )
 def author_records(spark: SparkSession, d: str) -> DataFrame:
-    out = corpora.author_records(table(spark, d, "comments"), table(spark, d, "author_profiles"))
+    out = corpora.author_records(table(spark, d, "comments", True), table(spark, d, "author_profiles"))
     return out.select("id", "author", "label_mbti", "n_sampled", "n_total", F.md5("text").alias("text_md5"))
 
 
@@ -198,7 +198,7 @@ _NEAR = f"md5(substr(regexp_replace({sql_strip('lower(text)')}, '{W}+', ' ', 'g'
 
 @register("near_duplicates", f'SELECT sum(c)::BIGINT AS "rows", count(*) AS "distinct", count_if(c > 1) AS repeated, coalesce(sum(c) FILTER (WHERE c > 1), 0)::BIGINT AS rows_in_repeats FROM (SELECT count(*) AS c FROM documents WHERE text IS NOT NULL GROUP BY {_NEAR})')
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return profile.duplicates(table(spark, d, "documents"), X.near_hash("text"))
+    return profile.duplicates(table(spark, d, "documents", True), X.near_hash("text"))
 
 
 @register("cross_split_overlap", f"SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM (SELECT DISTINCT split, {_NEAR} AS k FROM {_DOCS} WHERE split IS NOT NULL AND text IS NOT NULL) a JOIN (SELECT DISTINCT split, {_NEAR} AS k FROM {_DOCS} WHERE split IS NOT NULL AND text IS NOT NULL) b ON a.k = b.k AND a.split < b.split GROUP BY 1, 2")

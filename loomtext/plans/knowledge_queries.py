@@ -95,7 +95,7 @@ def kb_manifest(spark: SparkSession, d: str) -> DataFrame:
 @register("chunked_documents")
 def chunked_documents(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut at paragraph and post marks, packed to 160 words; checked against a plain loop in the tests."""
-    out = knowledge.chunked(table(spark, d, "documents").select("doc_id", "text"), 160, 16, 5, "doc_id", "text", r"\n\n+|\|\|\|")
+    out = knowledge.chunked(table(spark, d, "documents", True).select("doc_id", "text"), 160, 16, 5, "doc_id", "text", r"\n\n+|\|\|\|")
     return out.select(F.col("doc_id").alias("chunk_id"), "text", "subchunk_index")
 
 
@@ -139,15 +139,15 @@ _REPLY = "CASE event_id % 4 WHEN 0 THEN 'Sure: [' || props || ', ' || props || '
 @register("json_salvage", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END::BIGINT AS found, CASE event_id % 4 WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END * (props->>'$.k')::BIGINT AS total FROM events")
 def json_salvage(spark: SparkSession, d: str) -> DataFrame:
     """Replies made of the events' JSON with prose, fences and cut ends: what can be recovered."""
-    replied = table(spark, d, "events").select("event_id", F.expr(_REPLY.replace("chr(10)", "char(10)")).alias("reply"))
-    items = replied.select("event_id", replies.salvage(F.col("reply"), "struct<k:bigint>").alias("x"))
+    replied = table(spark, d, "events", True).select("event_id", F.expr(_REPLY.replace("chr(10)", "char(10)")).alias("reply"))
+    items = replies.salvaged(replied, "reply", "struct<k:bigint>", "x")
     return items.select("event_id", F.size("x").cast("bigint").alias("found"), F.aggregate("x", F.lit(0).cast("bigint"), lambda a, i: a + F.coalesce(i["k"], F.lit(0))).alias("total"))
 
 
 @register("chain_predictions")
 def chain_predictions(spark: SparkSession, d: str) -> DataFrame:
     """The three steps with the rule client over all documents."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents", True).select("doc_id", "text")
     staged = chain.states(chain.read_evidence(chain.rule_evidence(docs, WORDS)))
     return chain.predict(docs, staged)
 
@@ -159,7 +159,7 @@ def chain_parse_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("label_mbti IS NOT NULL AND length(text) > 20 AND doc_id IS NOT NULL")
+    docs = table(spark, d, "documents", True).where("label_mbti IS NOT NULL AND length(text) > 20 AND doc_id IS NOT NULL")
     held = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int") % 10 < 3
     return docs.select("doc_id", "text", F.substring("label_mbti", 1, 1).alias("label"), held.alias("held"))
 

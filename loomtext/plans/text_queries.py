@@ -39,12 +39,12 @@ def sql_tokens(x: str) -> str:
 
 @register("text_clean", rf"SELECT doc_id, {SQL_CLEAN} AS cleaned FROM documents")
 def text_clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.clean("text", normalize=False).alias("cleaned"))
+    return table(spark, d, "documents", True).select("doc_id", X.clean("text", normalize=False).alias("cleaned"))
 
 
 @register("text_normal_form")
 def text_normal_form(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.clean("text", lower=True).alias("cleaned"))
+    return table(spark, d, "documents", True).select("doc_id", X.clean("text", lower=True).alias("cleaned"))
 
 
 @register(
@@ -54,20 +54,20 @@ def text_normal_form(spark: SparkSession, d: str) -> DataFrame:
         FROM (SELECT doc_id, c, {sql_words("c")} AS w FROM (SELECT doc_id, {SQL_CLEAN} AS c FROM documents)))""",
 )
 def text_prepared(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", X.clean("text", normalize=False).alias("c"))
+    docs = table(spark, d, "documents", True).select("doc_id", X.clean("text", normalize=False).alias("c"))
     n = X.word_count("c")
     return docs.select("doc_id", F.when(F.col("c").isNotNull(), n).alias("n_words"), F.when(F.col("c").isNotNull(), n >= 10).alias("valid"), F.when(n >= 10, X.truncate_words("c", 200)).alias("prepared"))
 
 
 @register("sentence_split", rf"SELECT doc_id, (i - 1)::BIGINT AS sentence_idx, s[i] AS sentence FROM (SELECT doc_id, {sql_sentences('text')} AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences("text")).alias("sentence_idx", "sentence"))
+    docs = table(spark, d, "documents", True).select("doc_id", F.posexplode(X.sentences("text")).alias("sentence_idx", "sentence"))
     return docs.withColumn("sentence_idx", F.col("sentence_idx").cast("bigint"))
 
 
 @register("word_tokens", rf"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY token")
 def word_tokens(spark: SparkSession, d: str) -> DataFrame:
-    each = table(spark, d, "documents").select("doc_id", F.explode(X.tokens("text")).alias("token"))
+    each = table(spark, d, "documents", True).select("doc_id", F.explode(X.tokens("text")).alias("token"))
     per = each.groupBy("token", "doc_id").agg(F.count("*").alias("m"))
     return per.groupBy("token").agg(F.sum("m").alias("n"), F.count("*").alias("n_docs"))
 
@@ -78,7 +78,7 @@ _BOT = " OR ".join(f"contains(lower(body), '{p}')" for p in X.BOT_PHRASES)
 
 @register("forum_clean", f"SELECT comment_id, ingested_at, {_FORUM} AS cleaned, ({_BOT}) AS bot FROM comments")
 def forum_clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "comments").select("comment_id", "ingested_at", X.forum_clean("body").alias("cleaned"), X.is_bot("body").alias("bot"))
+    return table(spark, d, "comments", True).select("comment_id", "ingested_at", X.forum_clean("body").alias("cleaned"), X.is_bot("body").alias("bot"))
 
 
 @register("excerpts", rf"SELECT doc_id, CASE WHEN length(x) > 80 THEN substr(x, 1, 80) || '…' ELSE x END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '{W}+', ' ', 'g'), ' ') AS x FROM documents)")

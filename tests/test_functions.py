@@ -77,4 +77,5 @@ def test_labels(spark):
     [('```json\n[{"k": 1}]\n```', [1]), ('text [{"k": 1}, {"k": 2}] more', [1, 2]), ('cut [{"k": 3}, {"k": ', [3]), ("nothing", []), ("[]", []), (None, [])],
 )
 def test_salvage(spark, reply, want):
-    assert [r.k for r in one(spark, reply, lambda c: replies.salvage(c, "struct<k:bigint>"))] == want
+    df = replies.salvaged(spark.createDataFrame([(reply,)], "t string"), "t", "struct<k:bigint>", "found")
+    assert [r.k for r in df.first().found] == want
