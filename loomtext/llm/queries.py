@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _repairs(spark: SparkSession, d: str) -> DataFrame:
-    return garble.repairs(table(spark, d, "documents"))
+    return garble.repairs(table(spark, d, "documents", True))
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
@@ -22,13 +22,13 @@ def _garbled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _identified(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", True)
     best = language.restored_texts(docs, written(_repairs(spark, d), "repairs"))
     return language.identify(best, table(spark, d, "lang_codes"), "best_text")
 
 
 def p1_budget(spark: SparkSession, d: str) -> DataFrame:
-    return budget.token_budget(table(spark, d, "documents"), table(spark, d, "lang_codes"))
+    return budget.token_budget(table(spark, d, "documents", True), table(spark, d, "lang_codes"))
 
 
 def p1_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -36,37 +36,37 @@ def p1_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return budget.token_counts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+    return budget.token_counts(table(spark, d, "documents", True).select("doc_id", "text")).select("doc_id", "n_tokens")
 
 
 def p1_slices(spark: SparkSession, d: str) -> DataFrame:
-    sliced = budget.with_slices(table(spark, d, "documents").select("text", "source", "lang", "domain_name"), table(spark, d, "lang_codes"))
+    sliced = budget.with_slices(table(spark, d, "documents", True).select("text", "source", "lang", "domain_name"), table(spark, d, "lang_codes"))
     return sliced.groupBy(F.col("slice_source").alias("source"), F.col("slice_lang").alias("lang"), F.col("slice_domain").alias("domain")).agg(F.count("*").alias("n_docs"), F.count("text").alias("n_texts"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.findings(table(spark, d, "documents")).select("doc_id", "kind", "start_char")
+    return pii.findings(table(spark, d, "documents", True)).select("doc_id", "kind", "start_char")
 
 
 def p2_sanitised(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", True)
     return pii.sanitised(docs, pii.findings(docs))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_pairs(table(spark, d, "documents"), 3, 0.5, 40, _garbled(spark, d))
+    return neardup.near_duplicate_pairs(table(spark, d, "documents", True), 3, 0.5, 40, _garbled(spark, d))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicate_groups(table(spark, d, "documents"), 3, 0.5, 40, _garbled(spark, d))
+    return neardup.near_duplicate_groups(table(spark, d, "documents", True), 3, 0.5, 40, _garbled(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlapping_pairs(table(spark, d, "documents"), without=_garbled(spark, d))
+    return overlap.overlapping_pairs(table(spark, d, "documents", True), without=_garbled(spark, d))
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(table(spark, d, "documents"), written(p4_found(spark, d), "pairs"))
+    return overlap.overlap_report(table(spark, d, "documents", True), written(p4_found(spark, d), "pairs"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,11 +82,11 @@ def p5_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode(table(spark, d, "documents"))
+    return bpe.encode(table(spark, d, "documents", True))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+    return packing.pack_documents(table(spark, d, "documents", True), table(spark, d, "pack_specs"))
 
 
 def p7_utilisation(spark: SparkSession, d: str) -> DataFrame:
