@@ -39,6 +39,13 @@ def text_classes(docs: DataFrame, min_tokens: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint")
 
 
+def unique(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs and their classes with one row for each doc_id; texts are only moved where ids do repeat."""
+    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, classes
+    return docs.dropDuplicates(["doc_id"]), classes.dropDuplicates(["doc_id"])
+
+
 def representatives(classes: DataFrame, by: tuple[str, ...] = ("k1", "k2")) -> DataFrame:
     """(by, rep, copies): the smallest doc_id and the size of each class; only partial results are shuffled."""
     return classes.groupBy(*by).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
