@@ -185,3 +185,16 @@ def partial_ratio(quote: pd.Series, text: pd.Series) -> pd.Series:
         return best
 
     return pd.Series([one(q, t) for q, t in zip(quote, text, strict=True)], dtype="float64")
+
+
+def glossed(c: ColumnOrName, glossary: dict[str, str]) -> Column:
+    """The text with each term of a short glossary replaced, longest terms first."""
+    out = _c(c)
+    for term in sorted(glossary, key=lambda t: (-len(t), t)):
+        out = F.replace(out, F.lit(term), F.lit(glossary[term]))
+    return out
+
+
+def han_residue(c: ColumnOrName) -> Column:
+    """How many Han characters a text still has."""
+    return F.regexp_count(_c(c), F.lit("[一-鿿]")).cast("bigint")

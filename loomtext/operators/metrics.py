@@ -149,3 +149,17 @@ def running(df: DataFrame, group: str, order: list[str], error: Column, latency:
     """df with n, errors, error_rate and slowest so far, in arrival order within each group."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({"n": F.count("*").over(w), "errors": F.sum(error.cast("bigint")).over(w), "slowest": F.max(latency).over(w)}).withColumn("error_rate", F.round(F.col("errors") / F.col("n"), 6))
+
+
+def early_stopping(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """df with `best` so far (least value) and `waited`, the number of rows since it last improved."""
+    w = Window.partitionBy(group).orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = df.withColumns({"best": F.min(value).over(upto), "_n": F.row_number().over(w), "_up": before.isNull() | (F.col(value) < before)})
+    return marked.withColumn("waited", (F.col("_n") - F.max(F.when(F.col("_up"), F.col("_n"))).over(upto)).cast("bigint")).drop("_n", "_up")
+
+
+def flattened(summaries: DataFrame, by: str, names: list[str]) -> DataFrame:
+    """(key, value): each metric of each part as <part>_<metric>."""
+    return summaries.unpivot(by, names, "metric", "value").select(F.concat_ws("_", by, "metric").alias("key"), "value")

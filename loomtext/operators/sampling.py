@@ -39,3 +39,18 @@ def cross_split_counts(df: DataFrame, split: Column, key: Column) -> DataFrame:
     first = sets.where("size(all) > 1").select(F.posexplode("all").alias("i", "split_a"), "all")
     pairs = first.select("split_a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("split_b"))
     return pairs.groupBy("split_a", "split_b").agg(F.count("*").alias("shared"))
+
+
+def stratum(df: DataFrame, label: str, fallback: str, least: int = 2) -> DataFrame:
+    """df with `stratum`: the label where every label has `least` rows or more, else none; rows without one fall back."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).count()
+    enough = counts.agg((F.coalesce(F.min("count"), F.lit(0)) >= least).alias("_ok"), F.count("*").alias("_k"))
+    joined = df.join(F.broadcast(enough))  # one row
+    own = F.coalesce(F.col(label), F.concat(F.lit(fallback + "_"), F.coalesce(F.col(fallback), F.lit("none"))))
+    return joined.withColumn("stratum", F.when(F.col("_ok") & (F.col("_k") > 1), own).otherwise("all")).drop("_ok", "_k")
+
+
+def from_cache(df: DataFrame, key: Column, cache: DataFrame, value: str, otherwise: str) -> DataFrame:
+    """df with `value` looked up in cache (key, value), else the column `otherwise`; the cache has one row for each key."""
+    kept = cache.groupBy("key").agg(F.min("value").alias("_v"))
+    return df.withColumn("_key", key).join(kept.withColumnRenamed("key", "_key"), "_key", "left").withColumn(value, F.coalesce("_v", F.col(otherwise))).drop("_key", "_v")
