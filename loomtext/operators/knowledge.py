@@ -10,10 +10,35 @@ from loomtext.functions import text as X
 
 # Provenance of the named sources; a source that isn't listed has that of project_seed.
 REGISTRY = (
-    ("project_seed", "C", "project_authored"),
     ("neo_pi_r_costa_mccrae", "A", "citable_paraphrase"),
+    ("costa_mccrae_1992", "A", "citable_paraphrase"),
     ("bfi2_soto_john", "A", "citable_paraphrase"),
+    ("big_five_inventory_john", "A", "citable_paraphrase"),
+    ("goldberg_ipip", "A", "open_access"),
+    ("apa_dictionary_psychology", "B", "citable_paraphrase"),
+    ("mairesse_2007_linguistic_cues", "A", "citable_paraphrase"),
+    ("yarkoni_2010_100k_words", "A", "citable_paraphrase"),
+    ("schwartz_2013_social_media", "A", "citable_paraphrase"),
+    ("park_2015_automatic_personality", "A", "citable_paraphrase"),
+    ("pennebaker_king_1999", "A", "citable_paraphrase"),
+    ("tausczik_pennebaker_2010_liwc", "A", "citable_paraphrase"),
+    ("watson_clark_1984_negative_affectivity", "A", "citable_paraphrase"),
+    ("mcadams_life_story_2006", "A", "citable_paraphrase"),
+    ("carver_scheier_self_regulation", "B", "citable_paraphrase"),
+    ("gross_emotion_regulation_2002", "A", "citable_paraphrase"),
+    ("personality_evd_task_definition", "A", "citable_paraphrase"),
+    ("personality_evd_trainval_evidence", "A", "project_seed"),
+    ("whole_trait_theory_fleeson_2015", "A", "citable_paraphrase"),
+    ("bfi2_paraphrased_item_anchors", "A", "citable_paraphrase"),
+    ("gifts_differing_myers", "B", "citable_paraphrase"),
+    ("myersbriggs_foundation", "B", "citable_paraphrase"),
+    ("keirsey_temperament", "C", "project_seed"),
+    ("jung_psychological_types", "B", "citable_paraphrase"),
+    ("beebe_function_model", "C", "project_seed"),
+    ("synthetic_textbook_example", "C", "project_seed"),
+    ("project_seed", "C", "project_seed"),
 )
+DEFAULT_SOURCE = REGISTRY[-1]
 
 
 def paragraph_chunks(text: Column, size: int, overlap: int = 0, least: int = 1, mark: str = r"\n\n+") -> Column:
@@ -66,7 +91,7 @@ def normalized(chunks: DataFrame) -> DataFrame:
     """chunks with defaults and spellings settled: source_id, tier, license, framework, category, lang, trait and pole."""
     filled = chunks.withColumns(
         {
-            "source_id": F.coalesce(F.nullif("source_id", F.lit("")), F.lit("project_seed")),
+            "source_id": F.coalesce(F.nullif("source_id", F.lit("")), F.lit(DEFAULT_SOURCE[0])),
             "framework": F.lower(F.coalesce(F.nullif("framework", F.lit("")), F.lit("both"))),
             "category": F.coalesce(F.nullif("category", F.lit("")), F.lit("behavioral_marker")),
             "lang": F.coalesce(F.nullif("lang", F.lit("")), F.lit("en")),
@@ -74,9 +99,8 @@ def normalized(chunks: DataFrame) -> DataFrame:
             "pole": L.pole("pole"),
         }
     )
-    default = REGISTRY[0]
     known = filled.join(F.broadcast(registry(chunks)), "source_id", "left")  # a fixed list
-    return known.withColumns({"tier": F.coalesce("tier", F.lit(default[1])), "license": F.coalesce("license", F.lit(default[2]))})
+    return known.withColumns({"tier": F.coalesce("tier", F.lit(DEFAULT_SOURCE[1])), "license": F.coalesce("license", F.lit(DEFAULT_SOURCE[2]))})
 
 
 def embed_text(c: dict[str, Column]) -> Column:

@@ -20,7 +20,7 @@ from loomtext.streaming import running
 _POLE = f"CASE WHEN p IN ('HIGH', 'H', '+', 'POSITIVE') THEN 'HIGH' WHEN p IN ('LOW', 'L', '-', 'NEGATIVE') THEN 'LOW' WHEN p IN ('BOTH', 'DEFINITION', 'NEUTRAL', 'MIXED') THEN 'BOTH' ELSE p END"
 _REG = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in knowledge.REGISTRY)
 _NORMAL = f"""(SELECT chunk_id, text, facet, coalesce(nullif(k.source_id, ''), 'project_seed') AS source_id, lower(coalesce(nullif(framework, ''), 'both')) AS framework, coalesce(nullif(category, ''), 'behavioral_marker') AS category,
-    coalesce(nullif(lang, ''), 'en') AS lang, CASE WHEN upper(trait) IN ('O', 'C', 'E', 'A', 'N') THEN upper(trait) ELSE trait END AS trait, {_POLE} AS pole, coalesce(r.tier, 'C') AS tier, coalesce(r.license, 'project_authored') AS license
+    coalesce(nullif(lang, ''), 'en') AS lang, CASE WHEN upper(trait) IN ('O', 'C', 'E', 'A', 'N') THEN upper(trait) ELSE trait END AS trait, {_POLE} AS pole, coalesce(r.tier, 'C') AS tier, coalesce(r.license, 'project_seed') AS license
     FROM (SELECT *, upper({sql_strip("pole")}) AS p FROM kb_chunks) k LEFT JOIN (VALUES {_REG}) r(source_id, tier, license) ON coalesce(nullif(k.source_id, ''), 'project_seed') = r.source_id)"""
 
 
