@@ -65,8 +65,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlapping_pairs(table(spark, d, "documents", True), without=_garbled(spark, d))
 
 
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return overlap.overlapping_classes(table(spark, d, "documents", True), without=_garbled(spark, d))
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.overlap_report(table(spark, d, "documents", True), written(p4_found(spark, d), "pairs"))
+    return overlap.class_report(table(spark, d, "documents"), *_overlaps(spark, d))
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.class_members(*_overlaps(spark, d))
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    links, _ = _overlaps(spark, d)
+    return links.select(F.col("a").alias("held_out_class"), F.col("b").alias("train_class"), "shared", F.col("n_a").alias("n_spans"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +118,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            *(p1_budget, p1_totals, p1_tokens, p1_slices, p2_found, p2_sanitised, p3_found, p3_groups, p4_found, p4_report),
+            *(p1_budget, p1_totals, p1_tokens, p1_slices, p2_found, p2_sanitised, p3_found, p3_groups, p4_found, p4_report, p4_classes, p4_links),
             *(p5_found, p5_documents, p5_passages, p6_ids, p7_containers, p7_utilisation, p8_found, p8_restored),
         )
     }

@@ -109,6 +109,27 @@ def test_overlaps_equal_brute_force(spark):
     assert {r.split for r in report} <= {"val", "test"} and sum(r.n_pairs for r in report) == len(want)
 
 
+def test_report_counts_every_pair_of_large_classes(spark, monkeypatch):
+    (text,) = texts(5, 1)
+    rows = [(k, text, None, f"s{k % 2}", None, "val") for k in range(200)] + [(1000 + k, text, None, "t", None, "train") for k in range(100)]
+    df = docs(spark, rows + rows[:5])
+    links, members = overlap.overlapping_classes(df)
+    assert {tuple(r) for r in overlap.class_report(df, links, members).collect()} == {("val", "s0", 100, 10_000), ("val", "s1", 100, 10_000)}
+    classes = overlap.class_members(links, members)
+    assert {(r.class_id, r.side, r.links, r["count"]) for r in classes.groupBy("class_id", "side", "links").count().collect()} == {(0, "held_out", 1, 200), (1000, "train", 1, 100)}
+    # the registered query, too
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    monkeypatch.setattr(queries, "_garbled", lambda *_: None)
+    assert sum(r.n_pairs for r in queries.p4_report(spark, "").collect()) == 20_000
+
+
+def test_report_of_classes_equals_report_of_pairs(spark):
+    df = docs(spark, collection())
+    links, members = overlap.overlapping_classes(df)
+    want = overlap.overlap_report(df, overlap.overlapping_pairs(df)).collect()
+    assert {tuple(r) for r in overlap.class_report(df, links, members).collect()} == {tuple(r) for r in want}
+
+
 @pytest.mark.parametrize("run", [lambda d: neardup.near_duplicate_pairs(d), lambda d: neardup.near_duplicate_groups(d), lambda d: overlap.overlapping_pairs(d), lambda d: pii.findings(d)])
 def test_empty_tables(spark, run):
     assert run(docs(spark, [(1, "x")]).limit(0)).count() == 0
