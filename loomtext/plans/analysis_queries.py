@@ -246,12 +246,26 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return metrics.bootstrap(p, F.col("doc_id"), (F.col("a") == F.col("y")).cast("int"), 100)
 
 
+@register("bootstrap_interval_whole")
+def bootstrap_interval_whole(spark: SparkSession, d: str) -> DataFrame:
+    """bootstrap_interval with the reference's 1,000 replicates."""
+    p = predictions(spark, d)
+    return metrics.bootstrap(p, F.col("doc_id"), (F.col("a") == F.col("y")).cast("int"), 1000)
+
+
 @register("paired_bootstrap", f"WITH s AS (SELECT doc_id, (a = y)::INT::DOUBLE - (b = y)::INT AS v FROM {_PRED}), m AS (SELECT r, sum(w * v) / sum(w) AS m FROM (SELECT r, v, {_WEIGHT} AS w FROM s, (SELECT unnest(range(1, 101)) AS r)) GROUP BY r) SELECT (SELECT count(*) FROM s) AS n, (SELECT round(avg(v), 6) FROM s) AS delta, round(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), 6) AS p FROM m")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d)
     return metrics.paired_bootstrap(p, F.col("doc_id"), (F.col("a") == F.col("y")).cast("int"), (F.col("b") == F.col("y")).cast("int"), 100)
 
 
+@register("paired_bootstrap_whole")
+def paired_bootstrap_whole(spark: SparkSession, d: str) -> DataFrame:
+    """paired_bootstrap with the reference's 10,000 replicates."""
+    p = predictions(spark, d)
+    return metrics.paired_bootstrap(p, F.col("doc_id"), (F.col("a") == F.col("y")).cast("int"), (F.col("b") == F.col("y")).cast("int"), 10_000)
+
+
 @register(
     "wilcoxon",
     """WITH s AS (SELECT round(abs(openness - neuroticism), 9) AS m, openness > neuroticism AS up FROM author_profiles WHERE openness IS NOT NULL AND neuroticism IS NOT NULL AND openness <> neuroticism),

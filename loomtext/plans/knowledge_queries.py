@@ -171,14 +171,14 @@ def _evaluated(predicted: DataFrame) -> DataFrame:
 @register("model_text_lr")
 def model_text_lr(spark: SparkSession, d: str) -> DataFrame:
     rows = written(_labelled(spark, d), "rows")
-    model = models.fit_text(rows.where("NOT held"), "lr", "label", features=5000)
+    model = models.fit_text(rows.where("NOT held"), "lr", "label")
     return _evaluated(models.predict_labels(model, rows.where("held")))
 
 
 @register("model_text_vote")
 def model_text_vote(spark: SparkSession, d: str) -> DataFrame:
     rows = written(_labelled(spark, d), "rows")
-    fitted = [models.fit_text(rows.where("NOT held"), name, "label", features=2000) for name in ("lr", "nb")]
+    fitted = [models.fit_text(rows.where("NOT held"), name, "label") for name in ("lr", "nb")]
     votes = models.soft_vote(fitted, rows.where("held"), "doc_id")
     return _evaluated(votes.join(rows.select("doc_id", "label"), "doc_id"))
 

@@ -47,6 +47,12 @@ def text_normal_form(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", True).select("doc_id", X.clean("text", lower=True).alias("cleaned"))
 
 
+def _prepared(spark: SparkSession, d: str, limit: int) -> DataFrame:
+    docs = table(spark, d, "documents", True).select("doc_id", X.clean("text", normalize=False).alias("c"))
+    n = X.word_count("c")
+    return docs.select("doc_id", F.when(F.col("c").isNotNull(), n).alias("n_words"), F.when(F.col("c").isNotNull(), n >= 10).alias("valid"), F.when(n >= 10, X.truncate_words("c", limit)).alias("prepared"))
+
+
 @register(
     "text_prepared",
     rf"""SELECT doc_id, n_words, n_words >= 10 AS valid, CASE WHEN n_words >= 10 THEN cut END AS prepared FROM (
@@ -54,9 +60,13 @@ def text_normal_form(spark: SparkSession, d: str) -> DataFrame:
         FROM (SELECT doc_id, c, {sql_words("c")} AS w FROM (SELECT doc_id, {SQL_CLEAN} AS c FROM documents)))""",
 )
 def text_prepared(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents", True).select("doc_id", X.clean("text", normalize=False).alias("c"))
-    n = X.word_count("c")
-    return docs.select("doc_id", F.when(F.col("c").isNotNull(), n).alias("n_words"), F.when(F.col("c").isNotNull(), n >= 10).alias("valid"), F.when(n >= 10, X.truncate_words("c", 200)).alias("prepared"))
+    return _prepared(spark, d, 200)
+
+
+@register("text_prepared_whole")
+def text_prepared_whole(spark: SparkSession, d: str) -> DataFrame:
+    """text_prepared with the reference's limit of 2,000 words."""
+    return _prepared(spark, d, 2000)
 
 
 @register("sentence_split", rf"SELECT doc_id, (i - 1)::BIGINT AS sentence_idx, s[i] AS sentence FROM (SELECT doc_id, {sql_sentences('text')} AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)")
@@ -140,6 +150,12 @@ def head_tail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(X.head_tail(X.words("text"), 20), " ").alias("kept"))
 
 
+@register("head_tail_whole")
+def head_tail_whole(spark: SparkSession, d: str) -> DataFrame:
+    """head_tail with the reference's 512 tokens."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.head_tail(X.words("text"), 512), " ").alias("kept"))
+
+
 @register(
     "vocabulary_encoded",
     f"""WITH t AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, {sql_words("lower(text)")} AS x FROM documents))),
@@ -148,10 +164,20 @@ def head_tail(spark: SparkSession, d: str) -> DataFrame:
         SELECT doc_id, array_to_string(list_resize(coalesce(ids, []), 16, 0), ' ') AS ids FROM (SELECT doc_id FROM documents) LEFT JOIN e USING (doc_id)""",
 )
 def vocabulary_encoded(spark: SparkSession, d: str) -> DataFrame:
+    return _encoded(spark, d, 1000, 16)
+
+
+@register("vocabulary_encoded_whole")
+def vocabulary_encoded_whole(spark: SparkSession, d: str) -> DataFrame:
+    """vocabulary_encoded with the reference's 30,000 words and 512 positions."""
+    return _encoded(spark, d, 30_000, 512)
+
+
+def _encoded(spark: SparkSession, d: str, size: int, length: int) -> DataFrame:
     from loomtext.operators.features import encode_with_vocabulary
 
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return encode_with_vocabulary(docs, size=1000, length=16).select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+    return encode_with_vocabulary(docs, size, length).select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
 @register(
