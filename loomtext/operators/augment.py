@@ -1,4 +1,4 @@
-"""Word-level augmentation: copies of training texts with words swapped or dropped, chosen by MD5."""
+"""Word-level augmentation: copies of texts with words dropped, swapped or inserted, chosen by MD5."""
 
 from __future__ import annotations
 
@@ -13,18 +13,47 @@ def _number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *(p if isinstance(p, Column) else F.lit(p) for p in parts))), 1, 8), 16, 10).cast("bigint")
 
 
-def augmented(rows: DataFrame, copies: int = 2, alpha: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rows and `copies` changed copies of each: odd copies lose words, even ones have two neighbours swapped.
+#: Words that are never inserted again: the reference's list.
+STOPWORDS = "a an the and or but if of to in on for with as is was are were be been being have has had do does did i you he she it we they this that these those my your his her its our their".split()
 
-    (id_col STRING, text, augmented): ids of copies end in _aug<k>. A word is dropped where its number falls below alpha;
-    texts of one word stay as they are. Null texts have no copies.
+
+def augmented(rows: DataFrame, copies: int = 2, alpha: float = 0.1, id_col: str = "doc_id", text_col: str = "text", chosen: Column | None = None) -> DataFrame:
+    """rows and `copies` changed copies of each of the `chosen` rows, of all rows where it isn't given.
+
+    (id_col STRING, text, augmented): ids of copies end in _aug<k>. Each copy has one kind of change, in turn over its
+    number from a start that its row's digest gives: words dropped, pairs of places swapped, or words of the text, stop
+    words left out, inserted at other places. n = max(1, int(alpha x words)) such changes are made; where alpha is 1 or
+    more one word is left. Texts of one word lose nothing, swapped equal words and texts of stop words alone stay as they
+    are. Null texts have no copies.
     """
     key = F.col(id_col).cast("string")
     base = rows.select(key.alias(id_col), F.col(text_col).alias("text"), F.lit(False).alias("augmented"))
-    each = rows.where(F.col(text_col).isNotNull()).select(key.alias("_id"), X.words(text_col).alias("_w"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("_k"))
+    picked = rows.where(F.col(text_col).isNotNull() if chosen is None else F.col(text_col).isNotNull() & chosen)
+    each = picked.select(key.alias("_id"), X.words(text_col).alias("_w"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("_k"))
     n = F.size("_w")
-    drop = F.filter("_w", lambda w, i: (_number(F.col("_id"), F.col("_k").cast("string"), i.cast("string")) % 1000) >= int(alpha * 1000))
-    at = (_number(F.col("_id"), F.col("_k").cast("string")) % F.greatest(n - 1, F.lit(1))).cast("int")
-    swap = F.transform("_w", lambda w, i: F.when(i == at, F.get("_w", at + 1)).when(i == at + 1, F.get("_w", at)).otherwise(w))
-    changed = F.when(n < 2, F.col("_w")).when(F.col("_k") % 2 == 1, drop).otherwise(swap)
+    k = F.col("_k").cast("string")
+    each = each.withColumns({"_n": F.greatest(F.lit(1), F.floor(F.lit(alpha) * n).cast("int")), "_op": (_number("start", F.col("_id")) + F.col("_k")) % 3})
+    turns = F.sequence(F.lit(1), F.col("_n"))
+    number = lambda what, i: _number(what, F.col("_id"), k, i.cast("string"))
+    # the places whose numbers come first; a place's number is made once
+    lost = F.slice(F.array_sort(F.transform("_w", lambda w, i: F.struct(number("drop", i).alias("h"), i.alias("i")))), 1, F.least(F.col("_n"), n - 1))
+    each = each.withColumn("_lost", F.when((F.col("_op") == 0) & (n > 1), F.transform(lost, lambda x: x["i"])))
+    drop = F.filter("_w", lambda w, i: ~F.array_contains("_lost", i))
+
+    def swapped(acc: Column, j: Column) -> Column:
+        a = (number("from", j) % n).cast("int")
+        b = ((a + 1 + number("to", j) % (n - 1)) % n).cast("int")
+        return F.transform(acc, lambda w, i: F.when(i == a, F.get(acc, b)).when(i == b, F.get(acc, a)).otherwise(w))
+
+    content = F.filter("_w", lambda w: ~F.lower(w).isin(STOPWORDS))
+
+    def inserted(acc: Column, j: Column) -> Column:
+        at = (number("at", j) % (F.size(acc) + 1)).cast("int")
+        word = F.get(F.col("_content"), (number("word", j) % F.size("_content")).cast("int"))
+        return F.concat(F.slice(acc, 1, at), F.array(word), F.slice(acc, at + 1, F.size(acc)))
+
+    each = each.withColumn("_content", content)
+    swap = F.when(n > 1, F.aggregate(turns, F.col("_w"), swapped)).otherwise(F.col("_w"))
+    insert = F.when(F.size("_content") > 0, F.aggregate(turns, F.col("_w"), inserted)).otherwise(F.col("_w"))
+    changed = F.when(F.col("_op") == 0, F.when(n > 1, drop).otherwise(F.col("_w"))).when(F.col("_op") == 1, swap).otherwise(insert)
     return base.unionByName(each.select(F.concat("_id", F.lit("_aug"), "_k").alias(id_col), F.array_join(changed, " ").alias("text"), F.lit(True).alias("augmented")))

@@ -201,6 +201,12 @@ def augmented_texts(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy(F.when(F.col("augmented"), "copy").otherwise("original").alias("kind")).agg(F.count("*").alias("n"))
 
 
+@register("augmented_train")
+def augmented_train(spark: SparkSession, d: str) -> DataFrame:
+    """All documents and two changed copies of those of the train split: (doc_id, text, augmented)."""
+    return augment.augmented(table(spark, d, "documents", True), 2, chosen=F.lower(F.trim("split")).isin("train", "training"))
+
+
 def _streamed(spark: SparkSession, stream: DataFrame, mode: str, name: str, keep: str) -> DataFrame:
     """What a stream has said in the end: of each key the row of the last batch, from a table in the shared folder."""
     base = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -184,6 +184,23 @@ def test_augmentation_is_stable(spark):
     assert one == two and len(one) == 3 + 4
 
 
+def test_every_copy_has_its_changes(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(words[: 3 + k % 38]), "test" if k % 4 == 0 else "train") for k in range(80)] + [(99, None, "train")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, split string")
+    got = {r.doc_id: r for r in augment.augmented(df, 2, 0.1, chosen=F.col("split") == "train").collect()}
+    assert len(got) == 81 + 2 * 60 and not any(f"{k}_aug1" in got for k in range(0, 80, 4))
+    kinds = set()
+    for i, text, split in rows[:80]:
+        for r in [got[f"{i}_aug{k}"] for k in (1, 2)] if split == "train" else []:
+            old, new, n = text.split(), r.text.split(), max(1, int(0.1 * len(text.split())))
+            kinds.add((len(new) > len(old)) - (len(new) < len(old)))
+            assert len(new) - len(old) in (-n, 0, n) and set(new) <= set(old) and r.augmented
+            if len(new) == len(old):
+                assert sorted(new) == sorted(old) and (new != old if n == 1 else True)
+    assert kinds == {-1, 0, 1}
+
+
 def test_profiles_of_empty_tables(spark):
     empty = spark.createDataFrame([], "text string, label_mbti string, n long")
     assert profile.leakage_stats(empty).first().n == 0
