@@ -51,3 +51,13 @@ def test_sizes_of_samples_and_features(spark, monkeypatch):
         with pytest.raises(ZeroDivisionError):
             QUERIES[name](spark, DATA)
     assert seen[2:] == [[15_000, 15_000]] * 3
+
+
+def test_windows_of_several_files_in_any_order(spark, tmp_path):
+    folder = tmp_path / "events.parquet"
+    for day in (9, 2, 5):  # the newest rows first
+        rows = [(k, f"2024-01-{day:02d} {k % 24:02d}:10:00", "view", float(k)) for k in range(48)]
+        df = spark.createDataFrame(rows, "event_id long, ts string, event_type string, value double").selectExpr("event_id", "CAST(ts AS timestamp) ts", "event_type", "value")
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+    got = QUERIES["stream_windows"](spark, str(tmp_path)).collect()
+    assert len(got) == 72 and sum(r.n for r in got) == 144
