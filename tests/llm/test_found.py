@@ -206,6 +206,44 @@ def test_languages(spark):
     assert sum(r.lang == ("en", "de", "fr")[r.k] for r in held) >= 238 and all(0 < r.confidence <= 1 for r in held)
 
 
+class Fixed(language.TextModel):
+    """Scores of tokens as given."""
+
+    def __init__(self, scores):
+        self.scores = scores
+
+    def token(self, word):
+        return np.array(self.scores[word], float)
+
+
+def best_path(scores, prior, ends):
+    """The score of the best path, from all paths."""
+    import itertools
+
+    cost = lambda p: sum((language.SWITCH_AT_END if ends[k] else language.SWITCH) for k in range(1, len(p)) if p[k] != p[k - 1])
+    return max(np.log(prior[p[0]]) + sum(s[c] for s, c in zip(scores, p, strict=True)) - cost(p) for p in itertools.product(range(len(prior)), repeat=len(scores)))
+
+
+def test_passages_fuse_tokens_prior_and_label():
+    near = Fixed({"x": [0.0, -0.1]})  # ten tokens favour language 0 by 1 nat, tempered 0.5
+    text = " ".join(["x"] * 10)
+    flat = np.array([0.5, 0.5])
+    assert near.passages(text, flat)[0][2] == 0
+    assert near.passages(text, np.array([0.1, 0.9]))[0][2] == 1
+    assert near.passages(text, flat, np.array([0.1, 0.9]))[0][2] == 1
+    clear = Fixed({"x": [0.0, -5.0]})  # clear texts withstand both
+    assert clear.passages(text, np.array([0.01, 0.99]), np.array([0.1, 0.9]))[0][2] == 0
+
+
+def test_two_passages_that_pay_for_one_change_together():
+    # against language 2 each half gains 5, below the cost of a change at a sentence's end, but both gain 10
+    model = Fixed({"a": [0.0, -8.0, -2.5], "b": [-8.0, 0.0, -2.5]})
+    got = model.passages("a a. b b", np.full(3, 1 / 3))
+    scores = [model.token(w) for w in "aabb"]
+    assert [g[2] for g in got] == [0, 1]
+    assert best_path(scores, np.full(3, 1 / 3), [False, False, True, False]) == pytest.approx(np.log(1 / 3) - language.SWITCH_AT_END)
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered_queries(spark, name):
     check(spark, queries.queries()[name], queries.oracle_sql().get(name))
