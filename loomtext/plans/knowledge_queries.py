@@ -111,6 +111,13 @@ def step_blocks(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("block", F.col("block").cast("bigint"))
 
 
+@register("kb_step_blocks")
+def kb_step_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of worked examples in the knowledge base, cut before steps 2 and 3."""
+    out = table(spark, d, "kb_chunks").select("chunk_id", F.posexplode(knowledge.step_blocks(F.col("text"))).alias("block", "text"))
+    return out.withColumn("block", F.col("block").cast("bigint"))
+
+
 _HASH = f"list_transform({sql_tokens('text')}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64)"
 
 

@@ -61,3 +61,10 @@ def test_windows_of_several_files_in_any_order(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(folder))
     got = QUERIES["stream_windows"](spark, str(tmp_path)).collect()
     assert len(got) == 72 and sum(r.n for r in got) == 144
+
+
+def test_step_blocks_of_the_knowledge_base(spark, tmp_path):
+    rows = [("a", "## INPUT\nx\n## STEP 1\ny\n## STEP 2\nz\n## STEP 3\nw"), ("b", "plain"), ("c", None)]
+    spark.createDataFrame(rows, "chunk_id string, text string").write.parquet(str(tmp_path / "kb_chunks.parquet"))
+    got = sorted((r.chunk_id, r.block, r.text) for r in QUERIES["kb_step_blocks"](spark, str(tmp_path)).collect())
+    assert got == [("a", 0, "## INPUT\nx\n## STEP 1\ny"), ("a", 1, "## STEP 2\nz"), ("a", 2, "## STEP 3\nw"), ("b", 0, "plain")]
