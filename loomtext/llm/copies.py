@@ -25,30 +25,38 @@ def _text_key(h: np.ndarray, seed: int) -> int:
     return int(np.bitwise_xor.reduce(mix(h + place * np.uint64(0x9E3779B97F4A7C15), seed))) if len(h) else 0
 
 
-def text_classes(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(doc_id, k1, k2) of the documents of at least min_tokens tokens; equal keys mean equal token sequences."""
+def text_keys(docs: DataFrame, min_tokens: int) -> DataFrame:
+    """docs with k1 and k2 in place of text, of the rows of at least min_tokens tokens; equal keys mean equal token sequences."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = TokenHasher()
         for batch in batches(rows):
-            arrays = token_arrays(batch.column(1).to_pylist(), hasher)
+            arrays = token_arrays(batch.column("text").to_pylist(), hasher)
             keep = [k for k, a in enumerate(arrays) if len(a) >= min_tokens]
             keys = [np.array([_text_key(arrays[k], seed) for k in keep], np.uint64).view(np.int64) for seed in (11, 12)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(keys[0]), pa.array(keys[1])], names=["doc_id", "k1", "k2"])
+            rest = [batch.column(c).take(pa.array(keep, pa.int64())) for c in kept]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(keys[0]), pa.array(keys[1])], names=[*kept, "k1", "k2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, k1 bigint, k2 bigint")
+    return docs.mapInArrow(run, ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept) + ", k1 bigint, k2 bigint")
 
 
-def unique(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs and their classes with one row for each doc_id; texts are only moved where ids do repeat."""
-    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs, classes
-    return docs.dropDuplicates(["doc_id"]), classes.dropDuplicates(["doc_id"])
+def classes(docs: DataFrame, min_tokens: int, without: DataFrame | None = None, apart: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The texts (doc_id, text, *apart) of one record of each class of equal texts, and members (rep, doc_id, copies, *apart).
 
-
-def representatives(classes: DataFrame, by: tuple[str, ...] = ("k1", "k2")) -> DataFrame:
-    """(by, rep, copies): the smallest doc_id and the size of each class; only partial results are shuffled."""
-    return classes.groupBy(*by).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    Texts with different values of the columns `apart` are in different classes. Of several rows of one doc_id the one
+    counts whose text comes first by its hash, whatever the order of the rows. Texts are moved once.
+    """
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", *apart).withColumn("h", F.xxhash64("text", *apart))
+    keyed = text_keys(docs.select("doc_id", "h", *apart, "text"), min_tokens)
+    if without is not None:
+        keyed = keyed.join(without.select("doc_id"), "doc_id", "left_anti")
+    chosen = keyed.groupBy("doc_id").agg(F.min(F.struct("h", "k1", "k2", *apart)).alias("row")).select("doc_id", "row.*")
+    chosen = written(chosen, "keys")
+    reps = chosen.groupBy("k1", "k2", *apart).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    members = written(chosen.join(reps, ["k1", "k2", *apart]).select("rep", "doc_id", "h", "copies", *apart), "members")
+    once = docs.join(members.where("doc_id = rep").select("doc_id", "h"), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return once.drop("h"), members.drop("h")
 
 
 def sorted_shingles(docs: DataFrame, width: int) -> DataFrame:

@@ -6,8 +6,8 @@ register. Bands of registers give candidates; the share of equal registers, corr
 chance, estimates the Jaccard similarity and drops the clearly different ones; the rest is verified on the exact
 sets of token runs.
 
-Null, empty and short texts (fewer than min_tokens tokens) have no near-duplicates. Repeated rows of one doc_id count
-once; other columns are ignored. At the defaults a pair of similarity 0.5, 0.55 or 0.6 becomes a candidate with
+Null, empty and short texts (fewer than min_tokens tokens) have no near-duplicates. Of repeated rows of
+one doc_id one counts; other columns are ignored. At the defaults a pair of similarity 0.5, 0.55 or 0.6 becomes a candidate with
 probability 0.983, 0.9986 or 0.99996.
 """
 
@@ -18,11 +18,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import TokenHasher, batches, mix, shingles
-from loomtext.llm.copies import components, expand, representatives, text_classes, token_arrays, unique, with_shared
+from loomtext.llm.copies import classes, components, expand, sorted_shingles, token_arrays, with_shared
 from loomtext.session import written
 
 BUCKET_BITS = 3
@@ -31,6 +31,9 @@ ROWS_PER_BAND = 5
 MANTISSA_BITS = 10
 #: Registers that are kept for the estimate.
 ESTIMATE = 128
+#: A band of about so many documents or more is hot; found from one document in HOT_SAMPLE.
+HOT_BAND = 2048
+HOT_SAMPLE = 64
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _U = np.uint64
@@ -111,10 +114,40 @@ def sketches(docs: DataFrame, width: int, min_tokens: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n int, sketch binary, bands array<bigint>")
 
 
-def candidates(sketched: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) with a < b: documents that agree in a band and whose estimate is not clearly below `similarity`."""
+def hot_bands(banded: DataFrame, limit: int = HOT_BAND) -> DataFrame:
+    """(band): those that about `limit` documents or more have, from the counts of one document in HOT_SAMPLE.
+
+    This only chooses between two ways of finding the same pairs, so a band near the limit may fall on either side.
+    """
+    some = banded.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0)
+    return some.groupBy("band").count().where(F.col("count") >= max(2, limit // HOT_SAMPLE)).select("band")
+
+
+def rare_gram_pairs(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) with a < b: all pairs that can have the similarity, by their rarest grams.
+
+    A pair of Jaccard similarity s shares at least s of either set, so the two have one of the n - ceil(s n) + 1 rarest
+    grams of each in common. What many documents share is frequent, and isn't looked up unless a set has little else.
+    """
+    grams = written(sorted_shingles(docs, width).select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "hot_grams")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1")
+    ranked = grams.join(counts, "gram", "left").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("holders", F.lit(1)), "gram")))
+    rare = ranked.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity) + 1) & F.col("holders").isNotNull()).select("gram", "doc_id")
+    rare = written(rare, "rare_grams")
+    return rare.select("gram", F.col("doc_id").alias("a")).join(rare.select("gram", F.col("doc_id").alias("b")), "gram").where("a < b").select("a", "b").distinct()
+
+
+def candidates(sketched: DataFrame, docs: DataFrame, width: int, similarity: float, limit: int = HOT_BAND) -> DataFrame:
+    """(a, b) with a < b: documents that agree in a band and whose estimate is not clearly below `similarity`.
+
+    The documents of a band that very many have (of boilerplate) are compared by their rarest grams instead, exactly.
+    """
     banded = sketched.select(F.explode("bands").alias("band"), "doc_id")
-    pairs = banded.select("band", F.col("doc_id").alias("a")).join(banded.select("band", F.col("doc_id").alias("b")), "band").where("a < b").select("a", "b").distinct()
+    hot = written(hot_bands(banded, limit), "hot_bands")
+    cool = banded.join(hot, "band", "left_anti")
+    crowded = written(banded.join(hot, "band", "left_semi").select("doc_id").distinct(), "crowded")
+    pairs = cool.select("band", F.col("doc_id").alias("a")).join(cool.select("band", F.col("doc_id").alias("b")), "band").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(rare_gram_pairs(docs.join(crowded, "doc_id", "left_semi"), width, similarity)).distinct()
     least = similarity - 4.5 * float(np.sqrt(similarity * (1 - similarity) / ESTIMATE))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,16 +168,11 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
 
     docs has doc_id and text; `without` (doc_id) is left out.
     """
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    if without is not None:
-        docs = docs.join(without.select("doc_id"), "doc_id", "left_anti")
-    docs, classes = unique(docs, written(text_classes(docs, max(1, min_tokens)), "classes"))
-    reps = representatives(classes)
-    members = written(classes.join(reps, ["k1", "k2"]).select("rep", "doc_id", "copies"), "members")
-    once = docs.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    once, members = classes(docs, max(1, min_tokens), without)
+    once = written(once, "records")  # read for the sketches and for the exact count
     sketched = written(sketches(once, width, min_tokens), "sketches")
-    near = written(candidates(sketched, similarity), "candidates")
-    exact = with_shared(near, docs, width)
+    near = written(candidates(sketched, once, width, similarity), "candidates")
+    exact = with_shared(near, once, width)
     links = exact.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).where(F.col("jaccard") >= similarity)
     return written(links.select("a", "b", "jaccard"), "links"), members
 

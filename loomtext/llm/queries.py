@@ -82,6 +82,10 @@ def p4_links(spark: SparkSession, d: str) -> DataFrame:
     return links.select(F.col("a").alias("held_out_class"), F.col("b").alias("train_class"), "shared", F.col("n_a").alias("n_spans"))
 
 
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.covered_records(table(spark, d, "documents", True), without=_garbled(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return language.label_cases(_identified(spark, d))
 
@@ -118,7 +122,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            *(p1_budget, p1_totals, p1_tokens, p1_slices, p2_found, p2_sanitised, p3_found, p3_groups, p4_found, p4_report, p4_classes, p4_links),
+            *(p1_budget, p1_totals, p1_tokens, p1_slices, p2_found, p2_sanitised, p3_found, p3_groups, p4_found, p4_report, p4_classes, p4_links, p4_coverage),
             *(p5_found, p5_documents, p5_passages, p6_ids, p7_containers, p7_utilisation, p8_found, p8_restored),
         )
     }

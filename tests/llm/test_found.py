@@ -109,6 +109,82 @@ def test_overlaps_equal_brute_force(spark):
     assert {r.split for r in report} <= {"val", "test"} and sum(r.n_pairs for r in report) == len(want)
 
 
+def test_suffixes_stand_in_order_of_their_contents():
+    rng = np.random.default_rng(3)
+    codes, ends = rng.integers(0, 3, 400).astype(np.uint16), np.array([7, 8, 150, 400])
+    places, high, low = overlap.suffix_array(codes, ends, 8)
+    end = {p: int(ends[np.searchsorted(ends, p, "right")]) for p in range(400)}
+    want = sorted((p for p in range(400) if end[p] - p >= 8), key=lambda p: (codes[p : p + 8].tolist(), p))
+    assert places.tolist() == want
+    lcp = overlap.common_prefix(high, low)
+    assert lcp[0] == 0
+    for a, b, got in zip(want, want[1:], lcp[1:], strict=False):
+        assert got == next((k for k in range(8) if codes[a + k] != codes[b + k]), 8)
+    short, high, low = overlap.suffix_array(codes, ends, 3)
+    assert len(short) == sum(end[p] - p >= 3 for p in range(400)) and (np.diff(high.astype(np.int64)) >= 0).all()
+
+
+@pytest.mark.parametrize("hold", [1, 3, 1000])
+@pytest.mark.parametrize("size", [1, 4, 50])
+def test_adjacent_runs_in_batches_of_any_size(hold, size):
+    import pyarrow as pa
+
+    rng = random.Random(hold * 100 + size)
+    rows = sorted(((h, 5, rng.random() < 0.6, k, k % 7, rng.randint(1, 3)) for k, h in enumerate(rng.choices(range(12), k=90))), key=lambda r: (r[0], r[1], not r[2]))
+    names = ["high", "low", "train", "block", "place", "records"]
+    table = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[a : a + size]]) for a in range(0, 90, size)]
+    # with 12 codes of 16 bits in the last place the prefixes are alike but for the last token
+    got = [tuple(r.values()) for b in overlap._adjacent(8, hold)(iter(table)) for r in b.to_pylist()]
+    total = {h: sum(r[5] for r in rows if r[0] == h and r[2]) for h in range(12)}
+    held = {r[0] for r in rows if not r[2]}
+    assert sorted(g for g in got if not g[2]) == sorted((*r[:5], total[r[0]]) for r in rows if not r[2] and total[r[0]])
+    train = [g[:5] for g in got if g[2]]
+    want = [r[:5] for r in rows if r[2] and r[0] in held]
+    assert len(train) == len(set(train)) and set(want) <= set(train) <= {r[:5] for r in rows if r[2]} and (hold < 1000 or set(train) == set(want))
+
+
+def test_coverage_equals_brute_force(spark):
+    rows = collection() + [(500, collection()[0][1] + " " + collection()[1][1], None, "s", None, "dev"), (501, "one two three", None, "s", None, "test")]
+    side = {r[0]: {"train": "t", "training": "t", "val": "e", "test": "e", "dev": "e"}.get((r[5] or "").lower()) if len(r) > 5 else None for r in rows}
+    words = {r[0]: TOKEN.findall(r[1].lower()) for r in rows if r[1] and len(TOKEN.findall(r[1])) >= 40}
+    held = {g for i in words if side[i] == "t" for g in grams(" ".join(words[i]), 8)}
+    want = set()
+    for i, w in words.items():
+        marks = [False] * len(w)
+        for k in range(len(w) - 7):
+            if side[i] == "e" and tuple(w[k : k + 8]) in held:
+                marks[k : k + 8] = [True] * 8
+        if any(marks):
+            want.add((i, len(w), sum(marks), sum(b and not a for a, b in zip([False, *marks], marks, strict=False))))
+    for size in (1, 500, overlap.BLOCK_TOKENS):
+        overlap.blocks.__defaults__ = (overlap.SPAN, size)
+        got = {tuple(r) for r in overlap.covered_records(docs(spark, rows)).select("doc_id", "n_tokens", "covered_tokens", "n_spans").collect()}
+        assert got == want and len(want) > 20
+    with pytest.raises(ValueError):
+        overlap.covered_records(docs(spark, rows), 9)
+
+
+def test_hot_bands_lose_no_pair(spark, monkeypatch):
+    boiler = " ".join(WORDS[:30])
+    rows = [(k, f"{boiler} {t}", None) for k, t in enumerate(texts(9, 40, 60))] + [(100 + k, f"{boiler} {edited(t, k, 4)}", None) for k, t in enumerate(texts(9, 40, 60))]
+    rows += [(300 + k, " ".join([boiler, f"w{k}", f"v{k}"]), None) for k in range(12)]
+    own = {r[0]: grams(r[1], 3) for r in rows if len(TOKEN.findall(r[1])) >= 20}
+    want = {(i, j) for i in own for j in own if i < j and len(own[i] & own[j]) >= 0.5 * len(own[i] | own[j])}
+    monkeypatch.setattr(neardup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(neardup.hot_bands, "__defaults__", (2,))
+    monkeypatch.setattr(neardup.candidates, "__defaults__", (2,))
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(docs(spark, rows), 3, 0.5, 20).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_one_of_several_texts_of_an_id_counts_whatever_their_order(spark):
+    a, b = texts(4, 2)
+    rows = [(1, a, None, "s", None, "train"), (1, b, None, "s", None, "val"), (2, a, None, "s", None, "val"), (3, b, None, "s", None, "train")]
+    for run in (neardup.near_duplicate_pairs, overlap.overlapping_pairs):
+        got = {frozenset(map(tuple, run(docs(spark, r)).collect())) for r in (rows, rows[::-1], rows + rows, rows[1:] + rows[:1])}
+        assert len(got) == 1
+
+
 def test_report_counts_every_pair_of_large_classes(spark, monkeypatch):
     (text,) = texts(5, 1)
     rows = [(k, text, None, f"s{k % 2}", None, "val") for k in range(200)] + [(1000 + k, text, None, "t", None, "train") for k in range(100)]
