@@ -285,11 +285,11 @@ def test_languages(spark):
 class Fixed(language.TextModel):
     """Scores of tokens as given."""
 
-    def __init__(self, scores):
-        self.scores = scores
+    def __init__(self, given):
+        self.given = given
 
-    def token(self, word):
-        return np.array(self.scores[word], float)
+    def scores(self, words):
+        return np.array([self.given[w] for w in words], float)
 
 
 def best_path(scores, prior, ends):
@@ -300,24 +300,40 @@ def best_path(scores, prior, ends):
     return max(np.log(prior[p[0]]) + sum(s[c] for s, c in zip(scores, p, strict=True)) - cost(p) for p in itertools.product(range(len(prior)), repeat=len(scores)))
 
 
+def first_language(model, text, prior, label=None):
+    passages, whole = model.passages(text, np.log(prior), None if label is None else np.log(label))
+    assert len(passages) > 1 or passages[0][2] == int(whole.argmax())
+    return passages[0][2]
+
+
 def test_passages_fuse_tokens_prior_and_label():
     near = Fixed({"x": [0.0, -0.1]})  # ten tokens favour language 0 by 1 nat, tempered 0.5
     text = " ".join(["x"] * 10)
     flat = np.array([0.5, 0.5])
-    assert near.passages(text, flat)[0][2] == 0
-    assert near.passages(text, np.array([0.1, 0.9]))[0][2] == 1
-    assert near.passages(text, flat, np.array([0.1, 0.9]))[0][2] == 1
+    assert first_language(near, text, flat) == 0
+    assert first_language(near, text, np.array([0.1, 0.9])) == 1
+    assert first_language(near, text, flat, np.array([0.1, 0.9])) == 1
     clear = Fixed({"x": [0.0, -5.0]})  # clear texts withstand both
-    assert clear.passages(text, np.array([0.01, 0.99]), np.array([0.1, 0.9]))[0][2] == 0
+    assert first_language(clear, text, np.array([0.01, 0.99]), np.array([0.1, 0.9])) == 0
 
 
 def test_two_passages_that_pay_for_one_change_together():
     # against language 2 each half gains 5, below the cost of a change at a sentence's end, but both gain 10
     model = Fixed({"a": [0.0, -8.0, -2.5], "b": [-8.0, 0.0, -2.5]})
-    got = model.passages("a a. b b", np.full(3, 1 / 3))
-    scores = [model.token(w) for w in "aabb"]
+    got, _ = model.passages("a a. b b", np.log(np.full(3, 1 / 3)))
     assert [g[2] for g in got] == [0, 1]
-    assert best_path(scores, np.full(3, 1 / 3), [False, False, True, False]) == pytest.approx(np.log(1 / 3) - language.SWITCH_AT_END)
+    assert best_path(model.scores(list("aabb")), np.full(3, 1 / 3), [False, False, True, False]) == pytest.approx(np.log(1 / 3) - language.SWITCH_AT_END)
+
+
+def test_host_label_and_suffix_decide_doubtful_texts(spark):
+    rows = [(k, shuffled((EN, DE)[k % 2], k) + (" See www.x.aa now." if k % 2 else " See www.x.bb now."), ("en", "de")[k % 2], "s", ("north", "south")[k % 2]) for k in range(200)]
+    doubt = "11 22 33 44 55 66 77 88"  # tokens that tell nothing
+    rows += [(901, doubt, None, "s", "north"), (902, doubt, None, "s", "south"), (903, doubt, "en", "t", None), (904, doubt, "de", "t", None), (905, doubt + " www.y.aa", None, "t", None), (906, doubt + " www.y.bb", None, "t", None)]
+    codes = spark.createDataFrame([("en", "eng", "English"), ("de", "deu", "German")], "code string, code3 string, english_name string")
+    got = {r.doc_id: (r.lang, [p.lang for p in r.passages]) for r in language.identify(docs(spark, rows), codes).where("doc_id > 900").collect()}
+    assert got == {k: (c, [c]) for k, c in ((901, "en"), (902, "de"), (903, "en"), (904, "de"), (905, "de"), (906, "en"))}
+    cases = language.label_cases(language.identify(docs(spark, rows), codes)).where("doc_id > 900").collect()
+    assert {tuple(r) for r in cases} == {(901, "en"), (902, "de"), (905, "de"), (906, "en")}
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
