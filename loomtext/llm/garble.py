@@ -3,9 +3,9 @@
 A hidden Markov model labels characters with one clean state or one state per encoding pair (the encoding the bytes were
 in, the one they were read in). Each state's emissions are smoothed character pairs; those of a pair's state are
 learnt from clean text that was put through the pair. A labelled span gets its state's inverse transform, and the
-result is labelled again, so repeated errors are undone one by one. Letters lost to "?" are a state that is open only
-where a word of the corpus with other than ASCII letters fits the word with the signs in it; letters lost to U+FFFD are
-found but can't be restored.
+result is labelled again until nothing changes, so repeated errors are undone one by one, however many. Letters lost to
+"?" are a state that is open only where a word of the corpus with other than ASCII letters fits the word with the signs
+in it; letters lost to U+FFFD are a state that emits this sign alone; they are found but can't be restored.
 
 Null and empty texts are clean. Rows are independent, repeated rows give repeated results; other columns are ignored.
 """
@@ -15,7 +15,6 @@ from __future__ import annotations
 import codecs
 import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import batches
+from loomtext.llm.common import batches, hash_share
 
 #: Fixed values: (encoding of the bytes, encoding they were read in).
 PAIRS = (
@@ -51,13 +50,15 @@ PAIRS = (
     ("gbk", "cp1252"),
 )
 LOST = len(PAIRS) + 1
-STATES = LOST + 1
-#: The model is fitted on at most so many documents, those whose ids' hashes come first.
+SUBSTITUTE = LOST + 1
+STATES = SUBSTITUTE + 1
+#: The model is fitted on about so many documents, those whose ids' hashes come first.
 FIT_ROWS = 10_000
-#: Characters of more codes than this many share one id.
-MAX_ALPHABET = 1500
-#: Cost, in nats, of leaving the clean state; and by how much a restored span must be the likelier text.
-SWITCH = 11.0
+#: log P of the sign U+FFFD in the clean state and that of letters lost to "?", in those of encodings, in its own.
+SIGN = (-30.0, -3.0, -0.1)
+_NEVER = -50.0
+#: Cost, in nats, of leaving the clean state, and of leaving it for a substitute sign; and by how much a restored span must be the likelier text.
+SWITCH, SWITCH_TO_SIGN = 11.0, 1.0
 MARGIN = 4.0
 _HAN = (0x4E00, 0x9FFF)
 _INNER_QUESTION = r"(?U)\p{L}\?+\p{L}"
@@ -122,31 +123,50 @@ def utf8_units() -> re.Pattern[str]:
 
 @dataclass
 class Model:
-    """Tables over character ids: pair[s, previous, this] and, for Han characters, han[s, code]."""
+    """Character ids, and tables over them with a column for each state.
+
+    ids: of each code; 0 for one not seen, 1 for any Han character. pairs: log P(this | previous) of the pairs of ids that
+    were seen in any state, in the order of keys; of other pairs it is one[this] + row[previous]. han: of Han characters.
+    """
 
     ids: np.ndarray
-    pair: np.ndarray
+    keys: np.ndarray
+    pairs: np.ndarray
+    one: np.ndarray
+    row: np.ndarray
     han: np.ndarray
 
+    def pair(self, before: np.ndarray, this: np.ndarray) -> np.ndarray:
+        out = self.one[this] + self.row[before]
+        wanted = before.astype(np.int64) * len(self.one) + this
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = self.keys[at] == wanted
+        out[hit] = self.pairs[at[hit]]
+        return out
+
     def emissions(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P of the characters at the places `at` after those before them, for each state: (places, states)."""
         before = np.where(at > 0, self.ids[codes[at - 1]], self.ids[10])
         this = codes[at]
-        out = self.pair[:, before, self.ids[this]].T.astype(np.float64)
+        out = self.pair(before, self.ids[this]).astype(np.float64)
         han = (this >= _HAN[0]) & (this <= _HAN[1])
         if han.any():
-            out[han] += self.han[:, this[han] - _HAN[0]].T
-        lost = (this == 0xFFFD) | ((at > 0) & (codes[at - 1] == 0xFFFD))
-        out[lost] = 0  # a substitute sign says nothing about the encoding
+            out[han] += self.han[this[han] - _HAN[0]]
+        sign = this == 0xFFFD
+        out[~sign & (at > 0) & (codes[at - 1] == 0xFFFD)] = 0  # what follows a substitute sign says nothing about the encoding
+        out[:, SUBSTITUTE] = _NEVER
+        out[sign] = SIGN[1]
+        out[np.ix_(sign, [0, LOST])] = SIGN[0]
+        out[sign, SUBSTITUTE] = SIGN[2]
         return out
 
     def clean_score(self, before: str, text: str, after: str) -> float:
         """log P of text as clean text between its neighbours; substitute signs count as rare characters."""
         codes = _codes((before or "\n") + text + after)
         ids = self.ids[codes]
-        score = float(self.pair[0, ids[:-1], ids[1:]].sum())
+        score = float(self.pair(ids[:-1], ids[1:])[:, 0].sum())
         han = codes[(codes >= _HAN[0]) & (codes <= _HAN[1])]
-        return score + float(self.han[0, han - _HAN[0]].sum()) - 14.0 * text.count("\ufffd")
+        return score + float(self.han[han - _HAN[0], 0].sum()) - 14.0 * text.count("\ufffd")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -188,22 +208,21 @@ def counts_of(texts: list[str]) -> list[tuple[int, int, int, int]]:
     odd = [t for t in clean if not t.isascii()]
     odd += [t.upper() for t in odd[::8]]  # some texts are in capitals
     out = _count(clean + odd[-(len(odd) // 9) :], 0)
-    for state in range(1, STATES):
+    for state in range(1, SUBSTITUTE):
         out += _count([g for g in (through(t, state) for t in odd) if g is not None], state)
     return out
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model, from at most `rows` documents; the counts that reach the driver are those of an alphabet."""
-    sample = docs.select(F.xxhash64(id_col).alias("h"), F.col(id_col), F.col(text_col).alias("text")).where("text IS NOT NULL").orderBy("h", id_col).limit(rows)
-    spread = sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
+    """The model, from about `rows` documents; the counts that reach the driver are those of their characters."""
+    sample = docs.where(hash_share(docs, id_col, rows)).select(F.col(text_col).alias("text")).where("text IS NOT NULL")
 
     def run(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batch_rows, 4000):
             got = counts_of(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(4)], names=["state", "before", "code", "n"])
 
-    counted = spread.select("text").mapInArrow(run, "state long, before long, code long, n long")
+    counted = sample.mapInArrow(run, "state long, before long, code long, n long")
     table = counted.groupBy("state", "before", "code").agg(F.sum("n").alias("n")).toArrow()
     return build(*(table.column(c).to_numpy() for c in ("state", "before", "code", "n")))
 
@@ -211,31 +230,26 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col:
 def build(state: np.ndarray, before: np.ndarray, code: np.ndarray, n: np.ndarray) -> Model:
     single = before < 0
     han_code = (code >= _HAN[0]) & (code <= _HAN[1])
-    total: Counter[int] = Counter()
-    for c, m in zip(code[single & ~han_code].tolist(), n[single & ~han_code].tolist(), strict=True):
-        total[c] += m
-    alphabet = [c for c, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:MAX_ALPHABET]]
-    ids = np.zeros(0x110000, np.int64)  # 0: anything else
-    for k, c in enumerate(alphabet):
-        ids[c] = k + 2
+    alphabet = np.unique(np.concatenate([code[single & ~han_code], [10]]))
+    ids = np.zeros(0x110000, np.int32)
+    ids[alphabet] = np.arange(2, len(alphabet) + 2)
     ids[_HAN[0] : _HAN[1] + 1] = 1
     size = len(alphabet) + 2
-    pair = np.empty((STATES, size, size), np.float32)
-    han = np.empty((STATES, _HAN[1] - _HAN[0] + 1), np.float32)
-    for s in range(STATES):
-        at = (state == s) & ~single
-        n2 = np.zeros((size, size))
-        np.add.at(n2, (ids[before[at]], ids[code[at]]), n[at])
-        rows = n2.sum(axis=1, keepdims=True)
-        one = n2.sum(axis=0) / max(1.0, n2.sum())
-        floor = 3e-7 if s == 0 else 1e-9
-        one = np.maximum(one, floor)
-        pair[s] = np.log((n2 + 4.0 * one) / (rows + 4.0))
-        at = (state == s) & single & han_code
-        h = np.zeros(han.shape[1])
-        np.add.at(h, code[at] - _HAN[0], n[at])
-        han[s] = np.log((h + 0.02) / (h.sum() + 0.02 * len(h)) if s == 0 else (h + 1e-4) / (h.sum() + 1e-4 * len(h)))
-    return Model(ids, pair, han)
+    left, right, s, m = ids[before[~single]].astype(np.int64), ids[code[~single]].astype(np.int64), state[~single], n[~single]
+    keys, at = np.unique(np.concatenate([left * size + right, [0]]), return_inverse=True)
+    together, rows, one = np.zeros((len(keys), STATES)), np.zeros((size, STATES)), np.zeros((size, STATES))
+    np.add.at(together, (at[:-1], s), m)
+    np.add.at(rows, (left, s), m)
+    np.add.at(one, (right, s), m)
+    one = np.maximum(one / np.maximum(1.0, one.sum(axis=0)), np.where(np.arange(STATES) == 0, 3e-7, 1e-9))
+    row = -np.log(rows + 4.0)
+    pairs = np.log(together + 4.0 * one[keys % size]) + row[keys // size]
+    han = np.zeros((_HAN[1] - _HAN[0] + 1, STATES))
+    own = single & han_code
+    np.add.at(han, (code[own] - _HAN[0], state[own]), n[own])
+    least = np.where(np.arange(STATES) == 0, 0.02, 1e-4)
+    han = np.log((han + least) / (han.sum(axis=0) + least * len(han)))
+    return Model(ids, keys, *(x.astype(np.float32) for x in (pairs, np.log(4.0 * one), row, han)))
 
 
 def hinted(text: str, words: dict[str, str]) -> dict[int, str]:
@@ -276,16 +290,18 @@ def label(text: str, model: Model, lost: dict[int, str]) -> np.ndarray:
     shut = ~open_[at]
     emit[shut, LOST] = np.where(odd[at][shut], emit[shut, 0] - 4.0, emit[shut, 0])
     gain = np.maximum(0, emit - emit[:, :1]).sum(axis=0)
-    states = np.concatenate([[0], np.flatnonzero(gain > SWITCH)])
+    states = np.concatenate([[0], np.flatnonzero(gain > np.where(np.arange(STATES) == SUBSTITUTE, SWITCH_TO_SIGN, SWITCH))])
     if len(states) == 1:
         return labels
     e = emit[:, states]
-    best, back = e[0] - np.where(states > 0, SWITCH, 0), np.zeros((len(at), len(states)), np.int64)
+    best, back = e[0] - np.where(states == SUBSTITUTE, SWITCH_TO_SIGN, np.where(states > 0, SWITCH, 0)), np.zeros((len(at), len(states)), np.int64)
     for k in range(1, len(at)):
         top = int(best.argmax())
-        hop = np.where(np.arange(len(states)) == 0, best[top] - 0.5, best[top] - SWITCH)
+        hop, source = np.where(states == 0, best[top] - 0.5, best[top] - SWITCH), np.full(len(states), top)
+        if states[-1] == SUBSTITUTE and best[0] - SWITCH_TO_SIGN > hop[-1]:
+            hop[-1], source[-1] = best[0] - SWITCH_TO_SIGN, 0
         stay = best >= hop
-        back[k] = np.where(stay, np.arange(len(states)), top)
+        back[k] = np.where(stay, np.arange(len(states)), source)
         best = np.where(stay, best, hop) + e[k]
     s = int(best.argmax())
     path = np.empty(len(at), np.int64)
@@ -304,35 +320,40 @@ def label(text: str, model: Model, lost: dict[int, str]) -> np.ndarray:
 def _spans(labels: np.ndarray) -> Iterator[tuple[int, int, int]]:
     edges = np.flatnonzero(np.diff(labels)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(labels)], strict=True):
-        if labels[a]:
+        if b > a and labels[a]:
             yield a, b, int(labels[a])
 
 
-def repair(text: str, model: Model, words: dict[str, str], rounds: int = 3) -> tuple[str, list[str]]:
-    """The restored text and the names of the errors found, in the order in which they were undone."""
+def repair(text: str, model: Model, words: dict[str, str]) -> tuple[str, list[str]]:
+    """The restored text and the names of the errors found, in the order in which they were undone.
+
+    Every change makes the text likelier as clean text by more than MARGIN, so the rounds come to an end.
+    """
     found: list[str] = []
-    for _ in range(rounds):
+    while True:
         lost = hinted(text, words)
-        out, end, changed = [], 0, False
+        out, end, changed, signs = [], 0, False, False
         for a, b, s in _spans(label(text, model, lost)):
-            if s != LOST and PAIRS[s - 1][0] == "utf-8" and b < len(text) and text[b] == " " and _to_bytes(text[b - 1], PAIRS[s - 1][1]) == b"\xc3":
-                text, b = text[:b] + _to_text(b"\xa0", PAIRS[s - 1][1]) + text[b + 1 :], b + 1  # the hard space of an "à" became a plain one
-            part = text[a:b]
+            part, reach = text[a:b], b
+            if s == SUBSTITUTE:
+                signs = True
+                continue
             if s == LOST:
                 new, name = "".join(lost.get(a + k, c) for k, c in enumerate(part)), "lost"
             else:
+                if PAIRS[s - 1][0] == "utf-8" and text[b : b + 1] == " " and _to_bytes(part[-1], PAIRS[s - 1][1]) == b"\xc3":
+                    part, reach = part + _to_text(b"\xa0", PAIRS[s - 1][1]), b + 1  # the hard space of an "à" became a plain one
                 new, name = restore(part, PAIRS[s - 1]), ">".join(PAIRS[s - 1])
-            if new == part or model.clean_score(text[max(0, a - 1) : a], new, text[b : b + 1]) <= MARGIN + model.clean_score(text[max(0, a - 1) : a], part, text[b : b + 1]):
+            around = text[max(0, a - 1) : a], text[reach : reach + 1]
+            if new == part or model.clean_score(around[0], new, around[1]) <= MARGIN + model.clean_score(around[0], part, around[1]):
+                signs |= "\ufffd" in part
                 continue  # what was put back must be the likelier text
             out += [text[end:a], new]
-            end, changed = b, True
+            end, changed = reach, True
             found.append(name)
         if not changed:
-            break
+            return text, [*found, "substitute"] if signs else found
         text = "".join(out) + text[end:]
-    if "\ufffd" in text and "substitute" not in found:
-        found.append("substitute")
-    return text, found
 
 
 def lost_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -362,7 +383,7 @@ def repairs(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id",
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
     model = model or fit(docs, id_col=id_col, text_col=text_col)
-    shared = spark.sparkContext.broadcast(pickle.dumps(model))  # bounded by MAX_ALPHABET
+    shared = spark.sparkContext.broadcast(pickle.dumps(model))  # of the size of the pairs of characters in the fitted documents
     # a text of ASCII characters alone can only have lost letters
     odd = docs.where(F.col(text_col).rlike(r"[^\x00-\x7f]") | F.col(text_col).rlike(r"\?\p{L}"))
     asked = odd.join(lost_words(docs, text_col, id_col), id_col, "left")

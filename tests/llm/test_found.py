@@ -227,12 +227,31 @@ def test_garbled_texts_come_back(spark, model):
     cases = [("utf-8", "latin-1"), ("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("utf-8", "cp437")]
     rows = [(10 * k + j, garble.garble(t, pair)) for k, t in enumerate(CLEAN[:2]) for j, pair in enumerate(cases)]
     twice = garble.garble(garble.garble(CLEAN[0], ("utf-8", "cp1252")), ("utf-8", "cp1252"))
-    rows += [(50, garble.garble(CLEAN[2], ("koi8_r", "cp1251"))), (51, twice), (60, CLEAN[0]), (61, CLEAN[2]), (62, CLEAN[3]), (63, None), (64, ""), (65, "what?really?yes"), (66, "lost � sign")]
+    rows += [(50, garble.garble(CLEAN[2], ("koi8_r", "cp1251"))), (51, twice), (60, CLEAN[0]), (61, CLEAN[2]), (62, CLEAN[3]), (63, None), (64, ""), (67, "\ufffd"), (65, "what?really?yes"), (66, "lost � sign")]
     got = {r.doc_id: r for r in garble.repairs(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     for k, t in enumerate(CLEAN[:2]):
         assert all(got[10 * k + j].restored == t for j in range(4))
     assert got[50].restored == CLEAN[2] and got[51].restored == CLEAN[0] and got[66].errors == ["substitute"]
-    assert not set(got) & {60, 61, 62, 63, 64, 65}
+    assert got[67].errors == ["substitute"] and not set(got) & {60, 61, 62, 63, 64, 65}
+
+
+def test_errors_are_undone_however_often_they_were_made(model, monkeypatch):
+    text = CLEAN[0]
+    for _ in range(7):
+        text = garble.garble(text, ("utf-8", "latin-1"))
+    # with a model that sees every trace of this error
+    monkeypatch.setattr(garble, "label", lambda t, *_: np.full(len(t), 1 if "\xc3" in t else 0))
+    monkeypatch.setattr(garble.Model, "clean_score", lambda _, before, t, after: -5.0 * len(t))
+    assert garble.repair(text, model, {}) == (CLEAN[0], ["utf-8>latin-1"] * 7)
+
+
+def test_substitute_signs_are_a_state_of_the_model(model):
+    text = "pl\ufffdin w\ufffdrds"
+    labels = garble.label(text, model, {})
+    assert [k for k, s in enumerate(labels) if s == garble.SUBSTITUTE] == [2, 9] and set(labels) == {0, garble.SUBSTITUTE}
+    assert garble.repair(text, model, {}) == (text, ["substitute"])
+    # rare characters, each with its own id, are no errors
+    assert garble.repair("ꙮ 𒀀 ᚠᚢᚦ ⠓⠑ \u200b fine", model, {})[1] == []
 
 
 def test_lost_letters_come_from_the_corpus(spark, model):
