@@ -1,14 +1,16 @@
 """Problem 2: personal information inside free text, found and replaced by typed placeholders.
 
-Information-theoretic sanitisation. Candidates are taken from every text by shape: strings of digits, pairs of words,
-addresses. How strongly a term (a word, an affix of a word, the shape of a number) reveals a protected entity is
-estimated from its co-occurrence with cues in the whole corpus ("phone", "my name is", "Frau"): the information that
-the term gives about the entity is log2 P(entity | term) / P(entity). Candidates whose terms exceed the
-disclosure threshold are findings, whether or not a cue stands beside them, and are generalised to a placeholder.
-E-mail and postal addresses carry their own proof in their form.
-
-Null and empty texts have no findings. Findings of one text don't overlap; the longer one wins, then the earlier. Rows
-are independent, repeated doc_ids give repeated findings; other columns are ignored.
+Information-theoretic sanitisation. Candidates are taken from every text by shape: strings of digits, pairs of words, forms
+of addresses. How strongly a term reveals a protected entity is estimated from its co-occurrence in the whole corpus: the
+information that the term gives about the entity is log2 P(entity | term) / P(entity). Terms are words and affixes of
+words, shapes of numbers, forms of mail and postal addresses, titles, cues, and the word before a candidate. A few cues
+("phone", "passport", "my name is") and titles start the estimate; the words that stand before what they reveal become
+cues themselves. A candidate is a finding where the bits of its terms together exceed the disclosure threshold, and is
+generalised to a placeholder of its kind, whether or not a cue stands beside it.
+
+Null and empty texts have no findings. Findings of one text don't overlap; mail addresses go before postal ones and
+those before all else, then the longer one wins, then the earlier. Rows are independent, repeated doc_ids give findings
+of all their texts once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,24 +22,29 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import batches
 from loomtext.session import written
 
-#: Bits of information above which a word gives away a name, or the shape of a number its kind.
+#: The disclosure thresholds, in bits: of a word for a name, and of the terms of a number or address together.
 NAME_BITS = 2.0
-NUMBER_BITS = 7.0
-#: Bits of the broadcast filter of given names; it has this size whatever the corpus.
-FILTER_BITS = 22
-
-# Words that announce an entity, in the languages of the corpus.
-PHONE_CUES = r"tel|tél|telefon\w*|telephone|phone|mobile?|móvil|cell|celular|call me at|call|text|whatsapp|fax|handy|ruf mich unter|appelle-moi au|llámame al|ligue para|telefone|тел|телефон|звоните по номеру|电话是?|手机|致电"
-ID_CUES = r"id|id card|ssn|social security(?: number is)?|passport|tax id|national insurance|licen[cs]e|steuer-?id|ausweis(?:nummer)?(?: ist)?|personalausweis|reisepass|dni(?: es)?|nie|nif|documento|pasaporte|sécurité sociale(?: est le)?|passeport|cpf(?: é)?|rg|passaporte|снилс|инн|паспорт|身份证号?是?|护照号?是?"
+FORM_BITS = 7.0
+#: A number whose shape never stands beside a cue of a kind loses so many bits for it.
+STRANGE = -4.0
+#: Before any text is seen an entity is expected once in so many words, and every second candidate of a form is one.
+PRIOR_WORDS = 10_000
+#: Bits of the broadcast filter of name terms: 16 for each term, within these bounds of their logarithm (at most 32 MB).
+FILTER_BITS = (22, 28)
+
+# Words that start the estimate, in the languages of the corpus.
+PHONE_CUES = r"tel|tél|telefon\w*|telephone|phone|mobile?|móvil|cell|celular|whatsapp|fax|handy|call(?: me)?|text|ruf mich|appelle-moi|llámame|ligue|telefone|тел|телефон|звоните|电话是?|手机|致电"
+ID_CUES = r"id|id card|ssn|social security|passport|tax id|national insurance|licen[cs]e|steuer-?id|ausweis|personalausweis|reisepass|dni|nie|nif|documento|pasaporte|sécurité sociale|passeport|cpf|rg|passaporte|снилс|инн|паспорт|身份证号?是?|护照号?是?"
+NUMBER_GLUE = r"(?:[ -]?(?:number|nummer|numéro|número|номер|n[r.º°]+))?(?: (?:is|ist|es|é|est|est le|at|unter|au|al|para|по номеру))?"
 NAME_CUES = (
-    r"my name is|i am|i'm|this is|signed,?|contact|ask for|according to|thanks to|comment by|written by|i met|it was|knows that|mein name ist|ich heiße|frag einfach nach|je m'appelle|demande à|me llamo|mi nombre es|pregunta por"
-    r"|meu nome é|me chamo|fale com|меня зовут|мне написала?|author\": \"|--\n"
+    r"my name is|i am|i'm|this is|signed,?|contact|ask for|according to|thanks to|written by|i met|mein name ist|ich heiße|frag nach|je m'appelle|demande à|me llamo|mi nombre es|pregunta por"
+    r"|meu nome é|me chamo|fale com|меня зовут|мне написала?|author\W{1,5}|--\n"  # the last two: of records and signatures
 )
 TITLES = r"mr|mrs|ms|(?-i:Miss)|mx|dr|prof|doctora?|docteure?|professora?|profesora?|herr|frau|mme|mlle|monsieur|madame|señora?|sra?|don|doña|dona|senhora?|г-н|г-жа|господин|госпожа"
 HAN_NAME_CUES = r"我叫|我是|联系人[:：]|姓名[:：]|署名[:：]"
@@ -55,11 +62,12 @@ _TITLED = re.compile(rf"(?<!\w)(?:{TITLES})\.?[ \xa0]+(?P<name>{_W}{{3,}}(?:-{_W
 _FRENCH_TITLED = re.compile(rf"(?<!\w)M\.[ \xa0]+(?P<name>{_W}{{3,}}(?:-{_W}{{2,}})*)")
 _FRENCH = re.compile(r"\b(?:le|la|les|est|et|je|mon|ma|une?|des|du|pour)\b", re.I)
 _ENGLISH = re.compile(r"\b(?:the|and|of|to|my|is|for|at|in|on)\b", re.I)
-_HAN_NAME = re.compile(rf"(?:{HAN_NAME_CUES})([一-鿿]{{2,4}})(?![一-鿿])")
-_HAN_TITLED = re.compile(r"(?<![一-鿿])([一-鿿])(?:先生|女士|小姐|老师)")
+_HAN_NAME = re.compile(rf"({HAN_NAME_CUES})([一-鿿]{{2,4}})(?![一-鿿])")
+_HAN_RUN = re.compile("[一-鿿]+")
+_HAN_TITLED = re.compile(r"([一-鿿])(先生|女士|小姐|老师)")
 
 _MAIL_SIGN = re.compile(r"(?:\s?[@＠]\s?|\s?[(\[]\s?at\s?[)\]]\s?| at )(?:[^\W_][\w-]*(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?| dot ))+[a-z]{2,12}\b", re.I)
-_LOCAL_PART = re.compile(r"(?<![\w.+%-])[\w.+%-]*[^\W_][\w+%-]*$")
+_LOCAL_PART = re.compile(r"[\w.+%-]*[^\W_][\w+%-]*")
 _GLUED_MAIL = re.compile(rf"(?<![\w.+%-])[\w.+%-]*?[^\W_]at[a-z][\w-]*?(?:dot[\w-]+?)*dot(?:{TLDS})\b", re.I)
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]+"
 #: Forms of postal addresses, each with the lower-case strings of which a text of that form holds one.
@@ -74,8 +82,10 @@ _ADDRESSES = (
 )
 _PART = r"(?:(?:[A-Z]{0,3}\d+(?:[A-Z]+\d+)*[A-Z]?|[A-Z])(?![^\W一-鿿])|\(\+?\d+\))"
 _NUMBER = re.compile(rf"(?<![^\W一-鿿])(?<![/@＠#=&?%+\-_.])(?<!\d[.,:])(?:(?!ID|NO|NR|PO)[A-Z]{{2}} (?=\d)|[A-Z]-(?=\d))?\+?{_PART}(?:(?:[ .\-/\xa0]|(?<=\))|(?=\())(?:{_PART}))*")
-_PHONE_CUE = re.compile(rf"(?:^|(?<=\W)|(?<=[一-鿿]))(?:{PHONE_CUES})\.?[\s:：(]*$", re.I)
-_ID_CUE = re.compile(rf"(?:^|(?<=\W)|(?<=[一-鿿]))(?:{ID_CUES})[\s:：(]*(?:n[r.º°]*\s*)?$", re.I)
+_PHONE_CUE = re.compile(rf"(?:^|(?<=\W)|(?<=[一-鿿]))(?:{PHONE_CUES})\.?{NUMBER_GLUE}$", re.I)
+_ID_CUE = re.compile(rf"(?:^|(?<=\W)|(?<=[一-鿿]))(?:{ID_CUES})\.?{NUMBER_GLUE}$", re.I)
+#: No cue with its glue is longer.
+_CUE_CHARS = 64
 
 
 def shape(number: str) -> str:
@@ -96,27 +106,46 @@ def numbers(text: str) -> Iterator[tuple[int, int, str]]:
             yield start, end, shape(value)
 
 
-def addresses(text: str) -> Iterator[tuple[str, int, int]]:
-    """(kind, start, end) of e-mail and postal addresses."""
+def addresses(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, form, start, end) of what has the form of an e-mail or postal address."""
     for m in _MAIL_SIGN.finditer(text):
-        local = _LOCAL_PART.search(text, max(0, m.start() - 80), m.start())
-        if local:
-            yield "email", local.start(), m.end()
+        start = m.start()
+        while start and (text[start - 1] in "._+%-" or text[start - 1].isalnum()) and not "一" <= text[start - 1] <= "鿿":
+            start -= 1
+        if _LOCAL_PART.fullmatch(text, start, m.start()):
+            sign = m.group().lower()
+            yield "email", "m:plain" if "@" in sign or "＠" in sign else "m:bracket" if "(" in sign or "[" in sign else "m:word", start, m.end()
     low = text.lower()
     if "dot" in low:
         for m in _GLUED_MAIL.finditer(text):
-            yield "email", m.start(), m.end()
-    for needs, pattern in _ADDRESSES:
+            yield "email", "m:glued", m.start(), m.end()
+    for k, (needs, pattern) in enumerate(_ADDRESSES):
         if any(x in low for x in needs):
             for m in pattern.finditer(text):
-                yield "address", m.start(), m.end()
+                yield "address", f"p:{k}", m.start(), m.end()
+
+
+def _before(text: str, start: int, skip: Callable[[str], bool]) -> int:
+    while start and skip(text[start - 1]):
+        start -= 1
+    return start
 
 
 def number_cue(text: str, start: int) -> str | None:
-    before = text[max(0, start - 40) : start]
+    end = _before(text, start, lambda c: c.isspace() or c in ":：(")
+    before = text[max(0, end - _CUE_CHARS) : end]
     return "phone" if _PHONE_CUE.search(before) else "id_number" if _ID_CUE.search(before) else None
 
 
+def context(text: str, start: int) -> str | None:
+    """The word before a place, or the two Han characters; null at the beginning and behind a number."""
+    end = _before(text, start, lambda c: not c.isalnum())
+    if end and "一" <= text[end - 1] <= "鿿":
+        return text[max(0, end - 2) : end]
+    word = text[_before(text, end, str.isalpha) : end]
+    return word.lower() or None
+
+
 def cued_names(text: str) -> Iterator[tuple[str, str]]:
     """(given, family) of names in title case that a cue announces; given is empty for a title."""
     for m in _CUED_PAIR.finditer(text):
@@ -128,14 +157,14 @@ def cued_names(text: str) -> Iterator[tuple[str, str]]:
             yield "", m["name"]
 
 
-def titled_names(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, family) of family names behind a title."""
+def titled_names(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, family, title) of words behind a title."""
     for m in _TITLED.finditer(text):
         if m["name"][:1].isupper():
-            yield m.start("name"), m.end("name"), m["name"]
+            yield m.start("name"), m.end("name"), m["name"], text[m.start() : m.start("name")].strip(" .\xa0").lower()
     if "M." in text and _is_french(text):
         for m in _FRENCH_TITLED.finditer(text):
-            yield m.start("name"), m.end("name"), m["name"]
+            yield m.start("name"), m.end("name"), m["name"], "m"
 
 
 def _is_french(text: str) -> bool:
@@ -174,8 +203,8 @@ def _affixes(word: str) -> tuple[str, str]:
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(space, term, n, a, b) over all documents: occurrences, and those beside cues.
 
-    space w: words, a as a given and b as a family name; x: affixes of words, b as of a family name; d: shapes of numbers,
-    a as a phone and b as an identity number.
+    space w: words, and pairs of Han characters, a as a given and b as a family name; x: affixes of words, b as of a
+    family name; h: Han characters, b as a family name; d: shapes of numbers, a as a phone and b as an identity number.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +216,12 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 if not text:
                     continue
                 words.update(_WORD.findall(text))
+                for run_ in _HAN_RUN.findall(text):
+                    words.update(run_[k : k + 2] for k in range(len(run_) - 1))
+                    for c in run_:
+                        n["h", c] += 1
+                for m in _HAN_NAME.finditer(text):
+                    hits.setdefault(("h", m.group(2)[0]), [0, 0])[1] += 1
                 for start, _, form in numbers(text):
                     n["d", form] += 1
                     cue = number_cue(text, start)
@@ -224,56 +259,64 @@ def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosure(counts: DataFrame) -> DataFrame:
-    """(space, term, bits_a, bits_b) of the terms that stand beside cues: what they reveal, in bits, about either entity."""
-    whole = counts.groupBy().agg(*(F.sum(F.when((F.col("space") == s) & (F.col(c) > 0), F.col(c))).alias(f"{s}{c}") for s in "wxd" for c in "ab"), F.sum(F.when(F.col("space") != "x", F.col("n"))).alias("all"))
-    known = counts.where("a > 0 OR b > 0").join(F.broadcast(whole))  # one row
+    """(space, term, n, bits_a, bits_b): what the terms that stand beside cues reveal, in bits, about either entity; n_all: all occurrences."""
+    spaces = "wxdh"
+    whole = counts.groupBy().agg(*(F.sum(F.when((F.col("space") == s) & (F.col(c) > 0), F.col(c))).alias(f"{s}{c}") for s in spaces for c in "ab"), F.sum(F.when(F.col("space").isin("w", "d"), F.col("n"))).alias("n_all"))
+    known = counts.join(F.broadcast(whole))  # one row
 
     def bits(c: str) -> Column:
-        base = F.coalesce(F.when(F.col("space") == "w", F.col(f"w{c}")).when(F.col("space") == "x", F.col(f"x{c}")).otherwise(F.col(f"d{c}")), F.lit(0)) / F.col("all")
+        hits = F.coalesce(*(F.when(F.col("space") == s, F.col(f"{s}{c}")) for s in spaces), F.lit(0))
+        base = (hits + 1) / (F.col("n_all") + PRIOR_WORDS)
         return F.when(F.col(c) > 0, F.log2(F.col(c) / F.greatest("n", c) / base)).otherwise(F.lit(-99.0))
 
-    return known.select("space", "term", bits("a").alias("bits_a"), bits("b").alias("bits_b"))
+    return known.select("space", "term", "n", "n_all", bits("a").alias("bits_a"), bits("b").alias("bits_b"))
 
 
-def _slot(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ((1 << FILTER_BITS) - 1)
+def _filter_of(terms: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits of the words and affixes that may be of names; false hits are settled by the join that follows."""
+    named = terms.where(f"(space = 'w' AND bits_a >= {NAME_BITS}) OR (space = 'x' AND bits_b >= 0)").select("term")
+    size = min(max(FILTER_BITS[0], named.count().bit_length() + 4), FILTER_BITS[1])
+    slot = F.pmod(F.xxhash64("term"), F.lit(1 << size))
+    # at most 2**(FILTER_BITS[1] - 6) rows
+    cells = named.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(term), {1 << size}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (size - 6), np.int64)
+    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+    return size, out
 
 
-def _filter_of(terms: DataFrame) -> np.ndarray:
-    """Bits of the words and affixes that may be of names; false hits are settled by the join that follows."""
+def _slot(word: str, size: int) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42) & ((1 << size) - 1)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in rows:
-            for word in batch.column(0).to_pylist():
-                bits[_slot(word)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(bits))], names=["slot"])
 
-    # at most 2**FILTER_BITS rows
-    slots = terms.where(f"(space = 'w' AND bits_a >= {NAME_BITS}) OR (space = 'x' AND bits_b >= 0)").select("term").mapInArrow(run, "slot bigint").distinct().toArrow().column("slot").to_numpy()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[slots] = True
-    return np.packbits(bits)
+_CANDIDATES = (("doc_id", "bigint"), ("kind", "string"), ("start_char", "int"), ("end_char", "int"), ("given", "string"), ("family", "string"), ("form", "string"), ("cue", "string"), ("context", "string"))
 
 
 def candidates(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, kind, start_char, end_char, given, family, form, cue): what may be personal information by its form."""
+    """(doc_id, kind, start_char, end_char, given, family, form, cue, context): what may be personal information by its form.
+
+    form is the shape of a number, the form of an address, the title or cue of a name; cue is the kind that a cue before
+    a number names; context is the word before.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_filter_of(terms))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).astype(bool)
+        size, cells = shared.value
         given, family = {}, {}
 
+        def held(word: str) -> bool:
+            slot = _slot(word, size)
+            return bool(int(cells[slot >> 6]) >> (slot & 63) & 1)
+
         def is_given(word: str) -> bool:
             got = given.get(word)
             if got is None:
-                got = given[word] = bool(bits[_slot(_first(word))])
+                got = given[word] = held(_first(word))
             return got
 
         def is_family(word: str) -> bool:
             got = family.get(word)
             if got is None:
-                got = family[word] = all(bits[_slot(x)] for x in _affixes(word))
+                got = family[word] = all(held(x) for x in _affixes(word))
             return got
 
         for batch in batches(rows):
@@ -284,55 +327,114 @@ def candidates(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Dat
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                out += [(i, kind, a, b, None, None, None, True) for kind, a, b in addresses(text)]
-                for start, end, form in numbers(text):
-                    cue = number_cue(text, start)
-                    out.append((i, cue or "number", start, end, None, None, form, cue is not None))
-                for m in _HAN_NAME.finditer(text):
-                    out.append((i, "name", m.start(1), m.end(1), None, None, None, True))
+                out += [(i, kind, a, b, None, None, form, None, context(text, a)) for kind, form, a, b in addresses(text)]
+                out += [(i, "number", a, b, None, None, form, number_cue(text, a), context(text, a)) for a, b, form in numbers(text)]
+                out += [(i, "han", m.start(2), m.end(2), None, m.group(2)[0], f"h:{m.group(1)}", None, None) for m in _HAN_NAME.finditer(text)]
                 for m in _HAN_TITLED.finditer(text):
-                    out.append((i, "name", m.start(1), m.end(1), None, None, None, True))
-                out += [(i, "name", a, b, None, None, None, True) for a, b, _ in titled_names(text)]
-                for a, b, g, f in name_pairs(text, is_given, is_family):
-                    out.append((i, "name", a, b, _first(g) or None, f.lower(), None, False))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "kind", "start_char", "end_char", "given", "family", "form", "cue"])
+                    alone = not m.start() or not "一" <= text[m.start() - 1] <= "鿿"
+                    out.append((i, "han", m.start(1), m.end(1), None, m.group(1), f"h:{m.group(2)}" if alone else None, None, None))
+                out += [(i, "titled", a, b, None, f.lower(), f"t:{title}", None, None) for a, b, f, title in titled_names(text)]
+                out += [(i, "name", a, b, _first(g) or None, f.lower(), None, None, context(text, a)) for a, b, g, f in name_pairs(text, is_given, is_family)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(_CANDIDATES)
+            types = {"bigint": batch.schema.field(0).type, "string": pa.string(), "int": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, _CANDIDATES, strict=True)], names=[n for n, _ in _CANDIDATES])
+
+    return docs.select("doc_id", text_col).mapInArrow(run, ", ".join(f"{n} {t}" for n, t in _CANDIDATES))
+
+
+def _form_bits(rows: DataFrame, told: Column, entities: DataFrame) -> DataFrame:
+    """(kind, form, form_bits): of the forms in rows; told: whether other terms reveal the candidate; entities: (kind, base)."""
+    counted = rows.groupBy("kind", "form").agg(F.count("*").alias("n"), F.sum(told.cast("long")).alias("told"))
+    return counted.join(entities, "kind").select("kind", "form", F.log2((F.col("told") + 1) / (F.col("n") + 2) / F.col("base")).alias("form_bits"))
+
 
-    return docs.select("doc_id", text_col).mapInArrow(run, "doc_id bigint, kind string, start_char int, end_char int, given string, family string, form string, cue boolean")
+def _bases(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(kind, base): the probability of an entity of each kind at a word."""
+    size = terms.agg(F.coalesce(F.max("n_all"), F.lit(0)).alias("n_all"))
+    return rows.groupBy("kind").count().join(F.broadcast(size)).select("kind", ((F.col("count") + 1) / (F.col("n_all") + PRIOR_WORDS)).alias("base"))  # one row
+
+
+def learnt_cues(rows: DataFrame, terms: DataFrame, bases: DataFrame) -> DataFrame:
+    """(kind, context, context_bits): the words before the candidates (kind, context) that reveal them by at least a bit."""
+    hits = rows.where("context IS NOT NULL").groupBy("kind", "context").agg(F.count("*").alias("hits"))
+    seen = hits.join(terms.where("space = 'w'").select(F.col("term").alias("context"), "n"), "context").join(bases, "kind")
+    bits = F.log2(F.col("hits") / F.greatest("n", "hits") / F.col("base"))
+    return seen.select("kind", "context", bits.alias("context_bits")).where("context_bits >= 1")
 
 
 def findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, kind, start_char, end_char): every piece of personal information."""
     terms = written(disclosure(term_counts(docs, text_col)), "terms")
-    found = written(candidates(docs, terms, text_col), "candidates")
-    words = terms.where("space = 'w'")
-    sure = found.where("kind IN ('email', 'address') OR (kind = 'name' AND given IS NULL AND family IS NULL)").select("doc_id", "kind", "start_char", "end_char")
-
-    shapes = terms.where("space = 'd'").select(F.col("term").alias("form"), "bits_a", "bits_b")
-    digits = found.where("form IS NOT NULL").join(shapes, "form", "left")
-    by_shape = F.when((F.col("bits_a") >= F.col("bits_b")) & (F.col("bits_a") >= NUMBER_BITS), "phone").when(F.col("bits_b") >= NUMBER_BITS, "id_number")
-    told = digits.withColumn("kind", F.when(F.col("cue"), F.col("kind")).otherwise(by_shape)).where("kind IS NOT NULL").select("doc_id", "kind", "start_char", "end_char")
-
-    named = found.where("kind = 'name' AND family IS NOT NULL")
+    found = written(candidates(docs, terms, text_col).distinct(), "candidates")
+    place = ("doc_id", "kind", "start_char", "end_char")
+    nothing = F.lit(0.0)
+
+    # numbers: bits of shape, cue and context for either kind
+    shapes = terms.where("space = 'd'").select(F.col("term").alias("form"), F.greatest("bits_a", F.lit(STRANGE)).alias("phone"), F.greatest("bits_b", F.lit(STRANGE)).alias("id_number"))
+    digits = written(found.where("kind = 'number'").join(shapes, "form", "left").fillna(STRANGE, ["phone", "id_number"]), "digits")
+    likely = F.when(F.col("phone") >= F.col("id_number"), "phone").otherwise("id_number")
+    strong = digits.where(F.greatest("phone", "id_number") >= FORM_BITS).withColumn("kind", likely)
+    bases = written(_bases(strong, terms), "bases")
+    cues = written(learnt_cues(strong, terms, bases), "cues")
+    stated = _form_bits(digits.where("cue IS NOT NULL").select(F.col("cue").alias("kind"), F.col("cue").alias("form"), likely.alias("likely")), F.col("likely") == F.col("kind"), bases)
+    total = digits
+    for kind in ("phone", "id_number"):
+        own = cues.where(F.col("kind") == kind).select("context", F.col("context_bits").alias(f"{kind}_context"))
+        total = total.join(own, "context", "left")
+    total = total.join(F.broadcast(stated.select(F.col("form").alias("cue"), "form_bits")), "cue", "left")  # a row for each kind of number
+    for kind in ("phone", "id_number"):
+        total = total.withColumn(kind, F.col(kind) + F.coalesce(f"{kind}_context", nothing) + F.when(F.col("cue") == kind, F.coalesce("form_bits", nothing)).otherwise(nothing))
+    told = total.where(F.greatest("phone", "id_number") >= FORM_BITS).withColumn("kind", likely).select(*place)
+
+    # mail and postal addresses: bits of form and context
+    formed = found.where("kind IN ('email', 'address')")
+    bases = written(_bases(formed, terms), "bases")
+    formed = written(formed.join(learnt_cues(formed, terms, bases), ["kind", "context"], "left"), "formed")
+    forms = _form_bits(formed, F.col("context_bits").isNotNull(), bases)
+    addressed = formed.join(forms, ["kind", "form"]).where(F.col("form_bits") + F.coalesce("context_bits", nothing) >= FORM_BITS).select(*place)
+
+    # names: bits of the given name; of the family name or its affixes, with title and context
+    words, affixes = terms.where("space = 'w'"), terms.where("space = 'x'").select("term", "bits_b")
     first = F.split_part("family", F.lit("-"), F.lit(1))
     named = (
-        named.withColumns({"term_f": first, "term_p": F.concat(F.lit("^"), F.left(first, F.lit(4))), "term_s": F.concat(F.right(first, F.lit(3)), F.lit("$"))})
-        .join(words.select(F.col("term").alias("given"), F.col("bits_a").alias("given_bits")), "given", "left")
-        .join(words.select(F.col("term").alias("term_f"), F.col("bits_b").alias("family_bits")), "term_f", "left")
-        .join(terms.where("space = 'x'").select(F.col("term").alias("term_p"), F.col("bits_b").alias("prefix_bits")), "term_p", "left")
-        .join(terms.where("space = 'x'").select(F.col("term").alias("term_s"), F.col("bits_b").alias("suffix_bits")), "term_s", "left")
+        found.where("kind IN ('name', 'titled')")
+        .withColumns({"term_f": first, "term_p": F.concat(F.lit("^"), F.left(first, F.lit(4))), "term_s": F.concat(F.right(first, F.lit(3)), F.lit("$"))})
+        .join(words.where("bits_b > -99").select(F.col("term").alias("term_f"), F.col("bits_b").alias("family_bits")), "term_f", "left")
+        .join(affixes.select(F.col("term").alias("term_p"), F.col("bits_b").alias("prefix_bits")), "term_p", "left")
+        .join(affixes.select(F.col("term").alias("term_s"), F.col("bits_b").alias("suffix_bits")), "term_s", "left")
+        .fillna(-99.0, ["family_bits", "prefix_bits", "suffix_bits"])
+        .withColumn("bits", F.greatest("family_bits", (F.col("prefix_bits") + F.col("suffix_bits")) / 2))
     )
-    family_bits = F.greatest(F.coalesce("family_bits", F.lit(-99.0)), (F.coalesce("prefix_bits", F.lit(-99.0)) + F.coalesce("suffix_bits", F.lit(-99.0))) / 2)
-    names = named.where((F.col("given").isNull() | (F.col("given_bits") >= NAME_BITS)) & (family_bits >= F.when(F.col("given").isNull(), 2 * NAME_BITS).otherwise(NAME_BITS))).select("doc_id", "kind", "start_char", "end_char")
-    return _apart(sure.unionByName(told).unionByName(names).distinct())
+    named = written(named.select(*place, "given", "form", "context", "bits"), "named")
+    paired = named.where("given IS NOT NULL").join(words.where(F.col("bits_a") >= NAME_BITS).select(F.col("term").alias("given")), "given")
+    sure = paired.where(F.col("bits") >= NAME_BITS)
+    bases = written(_bases(sure, terms), "bases")
+    cued = paired.join(learnt_cues(sure, terms, bases), ["kind", "context"], "left").where(F.col("bits") + F.coalesce("context_bits", nothing) >= NAME_BITS)
+    lone = named.where("kind = 'name' AND given IS NULL").where(F.col("bits") >= 2 * NAME_BITS)
+    titled = named.where("kind = 'titled'")
+    titles = _form_bits(titled, F.col("bits") >= NAME_BITS, _bases(titled, terms))
+    titled = titled.join(titles, ["kind", "form"]).where(F.col("form_bits") + F.col("bits") >= 2 * NAME_BITS)
+
+    # Han names: bits of the cue or title, and of the first character as a family name
+    han = found.where("kind = 'han'").join(terms.where("space = 'h'").select(F.col("term").alias("family"), "bits_b"), "family", "left").fillna(-99.0, ["bits_b"])
+    han = written(han, "han")
+    cues = _form_bits(han.where("form IS NOT NULL"), F.col("bits_b") >= NAME_BITS, _bases(han, terms))
+    han = han.join(cues, ["kind", "form"], "left").where(F.coalesce("form_bits", nothing) + F.when(F.col("form").isNull(), F.col("bits_b")).otherwise(F.greatest("bits_b", nothing)) >= 2 * NAME_BITS)
+
+    names = cued.select(*place).unionByName(lone.select(*place)).unionByName(titled.select(*place)).unionByName(han.select(*place))
+    return _apart(addressed.unionByName(told).unionByName(names.withColumn("kind", F.lit("name"))).distinct())
 
 
 def _apart(spans: DataFrame) -> DataFrame:
-    """spans without those that overlap a longer one, or an earlier one of the same length, of their text."""
+    """spans without those that overlap one that goes before them: mail, then postal addresses, then the longer, the earlier.
+
+    Only spans that hang together by overlaps are compared.
+    """
     spans = spans.withColumn("rank", F.when(F.col("kind") == "email", 0).when(F.col("kind") == "address", 1).otherwise(2))
-    lists = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", (F.col("start_char") - F.col("end_char")).alias("size"), "start_char", "end_char", "kind"))).alias("all"))
-    # a text's own findings: their number is bounded by its length
+    by_place = Window.partitionBy("doc_id").orderBy("start_char", "end_char", "kind")
+    new = F.coalesce(F.col("start_char") >= F.max("end_char").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    parts = spans.withColumn("new", new.cast("int")).withColumn("part", F.sum("new").over(by_place))
+    lists = parts.groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("rank", (F.col("start_char") - F.col("end_char")).alias("size"), "start_char", "end_char", "kind"))).alias("all"))
     kept = F.aggregate(
         "all",
         F.expr("cast(array() as array<struct<rank:int,size:int,start_char:int,end_char:int,kind:string>>)"),
