@@ -413,7 +413,7 @@ def findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lone = named.where("kind = 'name' AND given IS NULL").where(F.col("bits") >= 2 * NAME_BITS)
     titled = named.where("kind = 'titled'")
     titles = _form_bits(titled, F.col("bits") >= NAME_BITS, _bases(titled, terms))
-    titled = titled.join(titles, ["kind", "form"]).where(F.col("form_bits") + F.col("bits") >= 2 * NAME_BITS)
+    titled = titled.where(F.col("bits") >= NAME_BITS).join(titles, ["kind", "form"]).where(F.col("form_bits") + F.col("bits") >= FORM_BITS)
 
     # Han names: bits of the cue or title, and of the first character as a family name
     han = found.where("kind = 'han'").join(terms.where("space = 'h'").select(F.col("term").alias("family"), "bits_b"), "family", "left").fillna(-99.0, ["bits_b"])
