@@ -27,9 +27,14 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) ->
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder shared by all executors that spark.checkpoint.dir names.
+
+    Only a local session, whose executors are the driver, may leave it unset and gets a folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/loomtext-{spark.sparkContext.applicationId}"
@@ -43,7 +48,16 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_.scratch_path = path
+    return table_
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of `written` from which nothing will be read any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
