@@ -25,8 +25,8 @@ MAX_VOCABULARY_BYTES = 64 << 20
 #: Fixed value: the public pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces of more than 2**LONG_BITS bytes are merged one by one.
-LONG_BITS = 9
+#: Rows of more than 2**WIDE_BITS bytes find their least rank from the least ranks of blocks of so many places.
+WIDE_BITS = 9
 
 _NONE = np.int64(1 << 40)
 _EMPTY = np.int64(-1)
@@ -117,8 +117,8 @@ class Encoder:
         for p in pieces:
             raw = p.encode("utf-8", "replace")
             buckets.setdefault(max(1, (len(raw) - 1).bit_length()), []).append((p, raw))
-        for p, raw in (x for bits in [b for b in buckets if b > LONG_BITS] for x in buckets.pop(bits)):
-            self.seen[p] = self._merge_long(raw)
+        for p, raw in (x for bits in [b for b in buckets if b > WIDE_BITS] for x in buckets.pop(bits)):
+            self.seen[p] = self._merge_wide(raw)
         for bits, members in buckets.items():
             step = max(1, self.cells >> bits)
             for start in range(0, len(members), step):
@@ -162,25 +162,37 @@ class Encoder:
                     ranks[r, at[ok]] = self._pair(m[r, at[ok]], m[r, at[ok] + 1])
         return out
 
-    def _merge_long(self, raw: bytes) -> np.ndarray:
-        """One very long piece: a round merges every pair of the minimum rank, from left to right.
+    def _merge_wide(self, raw: bytes) -> np.ndarray:
+        """A row too wide to search and close up in each round: again its leftmost pair of minimum rank is merged a round.
 
-        A merge only makes pairs of higher rank than its own, so this is what leftmost merges one by one come to.
+        Symbols keep their places and know the next and the one before; the ranks stand as a matrix of blocks, so a round
+        looks at the blocks' least ranks, at one block, and renews at most three.
         """
-        m = self.of_byte[np.frombuffer(raw, np.uint8)]
-        while len(m) > 1:
-            ranks = self.pairs.rank(m[:-1], m[1:])
-            least = ranks.min()
-            if least == _NONE:
+        width, n = 1 << WIDE_BITS, len(raw)
+        sym = self.of_byte[np.frombuffer(raw, np.uint8)]
+        ranks = np.full((-(-n // width), width), _NONE)
+        flat = ranks.reshape(-1)
+        flat[: n - 1] = self.pairs.rank(sym[:-1], sym[1:])
+        least = ranks.min(axis=1)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        while True:
+            block = int(least.argmin())
+            if least[block] == _NONE:
                 break
-            at = np.flatnonzero(ranks == least)
-            # of pairs that overlap, in a run of one symbol, every second one is merged
-            first = np.concatenate([[True], np.diff(at) > 1])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - start) % 2 == 0]
-            m[at] = self.pairs.merged[least]
-            m = np.delete(m, at + 1)
-        return m.astype(np.int32)
+            at = (block << WIDE_BITS) + int(ranks[block].argmin())
+            gone = int(after[at])
+            sym[at] = self.pairs.merged[flat[at]]
+            sym[gone], flat[gone] = -1, _NONE
+            right, left = int(after[gone]), int(before[at])
+            after[at] = right
+            if right < n:
+                before[right] = at
+            flat[at] = self.pairs.rank(sym[at : at + 1], sym[right : right + 1])[0] if right < n else _NONE
+            if left >= 0:
+                flat[left] = self.pairs.rank(sym[left : left + 1], sym[at : at + 1])[0]
+            for b in {block, gone >> WIDE_BITS, max(0, left) >> WIDE_BITS}:
+                least[b] = ranks[b].min()
+        return sym[sym >= 0].astype(np.int32)
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return np.where((left >= 0) & (right >= 0), self.pairs.rank(np.maximum(left, 0), np.maximum(right, 0)), _NONE)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import TokenHasher, batches, mix, shingles, tokens
-from loomtext.session import written
+from loomtext.session import dropped, written
 
 #: Two classes of copies with more pairs of members than this are linked through their representatives alone.
 EXPAND_LIMIT = 10_000
@@ -122,7 +122,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         linked = down.join(least, "u").select("m", F.col("v").alias("x")).unionByName(least.select("m", F.col("u").alias("x")))
-        now = written(linked.where("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "edges")
+        last, now = now, written(linked.where("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct(), "edges")
+        dropped(last)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == tuple(row):
             break

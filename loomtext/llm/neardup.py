@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import TokenHasher, batches, mix, shingles
 from loomtext.llm.copies import classes, components, expand, sorted_shingles, token_arrays, with_shared
-from loomtext.session import written
+from loomtext.session import dropped, written
 
 BUCKET_BITS = 3
 HASHES = 80
@@ -172,9 +172,12 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, mi
     once = written(once, "records")  # read for the sketches and for the exact count
     sketched = written(sketches(once, width, min_tokens), "sketches")
     near = written(candidates(sketched, once, width, similarity), "candidates")
+    dropped(sketched)
     exact = with_shared(near, once, width)
     links = exact.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).where(F.col("jaccard") >= similarity)
-    return written(links.select("a", "b", "jaccard"), "links"), members
+    links = written(links.select("a", "b", "jaccard"), "links")
+    dropped(once, near)
+    return links, members
 
 
 def near_duplicate_pairs(docs: DataFrame, width: int = 5, similarity: float = 0.8, min_tokens: int = 0, without: DataFrame | None = None) -> DataFrame:

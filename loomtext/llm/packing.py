@@ -2,7 +2,7 @@
 
 Bounded-space online packing: each partition keeps a fixed number of open windows for each capacity, places an item
 best-fit, and emits the fullest window when none fits. The windows still open at the end of the partitions are then
-packed themselves, in rounds over ever fewer partitions, so no task gets more than a bounded number of them.
+packed themselves, in rounds over ever fewer parts of each spec, so no task gets more than a bounded number of them.
 
 An item longer than the capacity is cut into parts of the capacity and a rest; no other item is split. A text of no
 tokens (null, empty) stands in a container with part 0 and size 0. Specs with a null or non-positive capacity or an
@@ -113,10 +113,12 @@ def pack(items: DataFrame, open_windows: int = OPEN_WINDOWS, partitions: int | N
     )
     left = placed.where("open_fill >= 0").select("spec_id", "capacity", F.array("window_id").alias("members"), F.col("open_fill").alias("fill"))
     finished, step = None, 0
+    specs = left.select("spec_id").distinct().count()  # a short list of settings
     while True:
         step, count = step + 1, -(-count // FAN_IN)
         last = count == 1
-        spread = left.repartition(count, F.xxhash64(F.col("members")[0])).sortWithinPartitions("spec_id", F.desc("fill"), F.col("members")[0])
+        # in the last round one part of each spec, of at most FAN_IN times as many windows as a task leaves open
+        spread = left.repartition(count * max(1, specs), "spec_id", F.pmod(F.xxhash64(F.col("members")[0]), F.lit(count))).sortWithinPartitions("spec_id", F.desc("fill"), F.col("members")[0])
         merged = written(spread.mapInPandas(_merge_windows(step, last, open_windows * FAN_IN), "spec_id int, capacity int, members array<string>, fill int, closed boolean, container_id string"), "merged")
         closed = merged.where("closed")
         finished = closed if finished is None else finished.unionByName(closed)

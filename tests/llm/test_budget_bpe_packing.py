@@ -32,6 +32,11 @@ def test_ids_equal_the_public_encoder(reference, encoder, texts):
     assert [list(x) for x in encoder.encode(clean)] == [reference.encode(t, add_special_tokens=False).ids for t in clean]
 
 
+def test_wide_pieces_equal_the_public_encoder(reference, encoder):
+    texts = ["word" * 1500, "我们在图书馆里想起了那场争吵" * 60, "a" * 5000, "aab" * 700 + "é" * 900, " " * 3000 + "x", "!?" * 2000]
+    assert [x.tolist() for x in encoder.encode(texts)] == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_odd_texts(spark, reference):
     texts = [None, "", " ", "<|endoftext|> [MASK]", "a" * 5000, "中文" * 900, "​\x00é퟿", "x y " * 20_000, "same", "same"]
     df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, ids string")
