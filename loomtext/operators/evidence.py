@@ -27,3 +27,9 @@ def blended(supervised: DataFrame, keyword: DataFrame, alpha: float = 0.7, keys:
     other = keyword.select(*keys, F.col("score").alias("other"))
     joined = supervised.join(other, list(keys), "left")
     return joined.withColumn("score", alpha * F.col("score") + (1 - alpha) * F.coalesce("other", F.lit(0.0))).drop("other")
+
+
+def with_eligibility(scored: DataFrame, least: int = 4) -> DataFrame:
+    """scored with `eligible`: sentences of fewer than `least` words stay, with score 0."""
+    ok = X.word_count("sentence") >= least
+    return scored.withColumns({"eligible": ok, "score": F.when(ok, F.col("score")).otherwise(0.0)})

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions import labels as L
 from loomtext.functions import text as X
 
 
+#: Discordant pairs up to which McNemar's test is exact.
+EXACT_PAIRS = 100_000
+
+
 def confusion(df: DataFrame, true: Column, pred: Column, by: list[str] | None = None) -> DataFrame:
     """(by, y, p, n): counts of true and predicted label; rows with a null in either are dropped."""
     return df.select(*(by or []), true.alias("y"), pred.alias("p")).where("y IS NOT NULL AND p IS NOT NULL").groupBy(*(by or []), "y", "p").agg(F.count("*").alias("n"))
@@ -41,16 +46,30 @@ def summary(report: DataFrame, by: list[str] | None = None) -> DataFrame:
 def mcnemar(df: DataFrame, true: Column, a: Column, b: Column) -> DataFrame:
     """(both, only_a, only_b, neither, p): exact two-sided test on the discordant pairs; 1 where there are none.
 
-    The binomial tail is summed from logarithms over a sequence of at most min(only_a, only_b) + 1 terms.
+    Up to EXACT_PAIRS discordant pairs the binomial tail is summed exactly; beyond, it is that of the normal distribution
+    with continuity correction, whose error is then below a thousandth of p.
     """
     right_a, right_b = F.coalesce(a == true, F.lit(False)), F.coalesce(b == true, F.lit(False))
     counts = df.where(true.isNotNull()).agg(F.count_if(right_a & right_b).alias("both"), F.count_if(right_a & ~right_b).alias("only_a"), F.count_if(~right_a & right_b).alias("only_b"), F.count_if(~right_a & ~right_b).alias("neither"))
     n, m = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
+    exact = n <= EXACT_PAIRS
     # log C(n, k) grows by log((n - k + 1) / k): a running sum over k
-    steps = F.when(m > 0, F.sequence(F.lit(1).cast("bigint"), m)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    steps = F.when(exact & (m > 0), F.sequence(F.lit(1).cast("bigint"), m)).otherwise(F.expr("cast(array() as array<bigint>)"))
     first = F.struct((-n * F.log(F.lit(2.0))).alias("l"), F.exp(-n * F.log(F.lit(2.0))).alias("s"))
     tail = F.aggregate(steps, first, lambda acc, k: F.struct((acc["l"] + F.log((n - k + 1) / k)).alias("l"), (acc["s"] + F.exp(acc["l"] + F.log((n - k + 1) / k))).alias("s")))
-    return counts.withColumn("p", F.round(F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail["s"])), 6)).withColumn("significant", F.col("p") < 0.05)
+    far = F.greatest(F.lit(0.0), F.abs(F.col("only_a") - F.col("only_b")) - 1.0) / F.sqrt(n.cast("double"))
+    p = F.when(n == 0, 1.0).when(exact, F.least(F.lit(1.0), 2 * tail["s"])).otherwise(F.least(F.lit(1.0), two_sided(far)))
+    return counts.withColumn("p", F.round(p, 6)).withColumn("significant", F.col("p") < 0.05)
+
+
+def two_sided(z: Column) -> Column:
+    """Both tails of the normal distribution, by a rational approximation of erfc with an error below 1.2e-7."""
+    x = F.abs(z) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.5 * x)
+    poly = F.lit(0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = F.lit(c) + t * poly
+    return t * F.exp(-x * x + poly)
 
 
 def replicate_weight(key: Column, replicate: Column) -> Column:
@@ -103,13 +122,7 @@ def wilcoxon(df: DataFrame, a: Column, b: Column) -> DataFrame:
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)
-    # the normal tail by a rational approximation of erfc, error below 1.2e-7
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.5 * x)
-    poly = F.lit(0.17087277)
-    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-        poly = F.lit(c) + t * poly
-    return sums.select("n", F.round("w_plus", 3).alias("w_plus"), F.round("w_minus", 3).alias("w_minus"), F.round(z, 6).alias("z"), F.round(t * F.exp(-x * x + poly), 6).alias("p"))
+    return sums.select("n", F.round("w_plus", 3).alias("w_plus"), F.round("w_minus", 3).alias("w_minus"), F.round(z, 6).alias("z"), F.round(two_sided(z), 6).alias("p"))
 
 
 def krippendorff_ordinal(df: DataFrame, item: str, rating: str) -> DataFrame:
@@ -163,3 +176,45 @@ def early_stopping(df: DataFrame, group: str, order: list[str], value: str) -> D
 def flattened(summaries: DataFrame, by: str, names: list[str]) -> DataFrame:
     """(key, value): each metric of each part as <part>_<metric>."""
     return summaries.unpivot(by, names, "metric", "value").select(F.concat_ws("_", by, "metric").alias("key"), "value")
+
+
+def trait_report(df: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """class_report by trait of strings O:HIGH,C:LOW,...; traits that only one of the strings names are left out."""
+    both = df.select(F.explode(L.parse_trait_string(gold)).alias("trait", "y"), L.parse_trait_string(predicted).alias("p"))
+    each = both.select("trait", "y", F.element_at("p", F.col("trait")).alias("p"))
+    return class_report(confusion(each, F.col("y"), F.col("p"), ["trait"]), ["trait"])
+
+
+def micro(report: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, micro_precision, micro_recall, micro_f1), from the sums over the classes."""
+    zero = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    tp, s, q = F.sum("tp"), F.sum("support"), F.sum("predicted")
+    return report.groupBy(*(by or [])).agg(zero(tp, q).alias("micro_precision"), zero(tp, s).alias("micro_recall"), zero(2 * tp, s + q).alias("micro_f1"))
+
+
+def best(summaries: DataFrame, by: str, method: str, score: str) -> DataFrame:
+    """(by, method, score): the method with the greatest score; of equal ones the last in order."""
+    top = F.max_by(F.struct(method, score), F.struct(score, method))
+    return summaries.groupBy(by).agg(top.alias("t")).select(by, f"t.{method}", f"t.{score}")
+
+
+def log_loss(df: DataFrame, probability: str, by: list[str]) -> DataFrame:
+    """(by, n, log_loss): the mean of -ln of the probability given to the true class, of at least 1e-15."""
+    return df.where(F.col(probability).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(-F.log(F.greatest(F.col(probability), F.lit(1e-15)))), 6).alias("log_loss"))
+
+
+def by_position(first: DataFrame, second: DataFrame, by: str, order: str, buckets: int = 64) -> DataFrame:
+    """Rows (by, place, order, other) of two tables that have the same place in the order of their group.
+
+    Places are found from counts per bucket of the order's range, so no group is sorted in one task.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        ends = df.groupBy(by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+        cut = F.least(F.lit(buckets - 1), F.floor((F.col(order) - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)))
+        cells = df.join(ends, by).withColumn("_cell", cut).drop("_lo", "_hi")
+        counts = cells.groupBy(by, "_cell").agg(F.count("*").alias("_n"))
+        before = counts.select(by, "_cell", (F.sum("_n").over(Window.partitionBy(by).orderBy("_cell")) - F.col("_n")).alias("_before"))  # at most `buckets` rows a group
+        return cells.join(before, [by, "_cell"]).withColumn("place", F.col("_before") + F.row_number().over(Window.partitionBy(by, "_cell").orderBy(order))).select(by, "place", order)
+
+    return placed(first).join(placed(second).withColumnRenamed(order, "other"), [by, "place"])

@@ -108,3 +108,22 @@ def dataset_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     row = F.to_json(F.struct(*(F.col(c) for c in sorted(columns))))
     number = F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("n"), F.md5(F.coalesce(F.sum(number), F.lit(0)).cast("string")).alias("hash"))
+
+
+def combined(df: DataFrame, by: str) -> DataFrame:
+    """(by, n, n_texts, n_labelled, n_split, mean_chars, most_words, repeated, english): a profile of each corpus.
+
+    Counts of one grain come from one pass; repeated texts from the counts of their hashes.
+    """
+    once = df.groupBy(by).agg(
+        F.count("*").alias("n"),
+        F.count_if(X.strip("text") != "").alias("n_texts"),
+        F.count("label_mbti").alias("n_labelled"),
+        F.count("split").alias("n_split"),
+        F.round(F.avg(F.length("text")), 6).alias("mean_chars"),
+        F.max(X.word_count("text")).alias("most_words"),
+        F.round(F.avg(F.when(F.lower("lang") == "en", 1.0).otherwise(0.0)), 6).alias("english"),
+    )
+    hashes = df.groupBy(by, F.md5(F.coalesce("text", F.lit(""))).alias("k")).agg(F.count("*").alias("c")).groupBy(by).agg(F.sum(F.col("c") - 1).alias("repeated"))
+    joined = once.alias("o").join(hashes.alias("h"), F.expr(f"o.{by} <=> h.{by}"))
+    return joined.select(f"o.{by}", "n", "n_texts", "n_labelled", "n_split", "mean_chars", "most_words", "repeated", "english")

@@ -40,16 +40,82 @@ def top_k(scored: DataFrame, k: int, query_id: str = "query_id", doc_id: str = "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
-    """Cosine, dot product or negative Euclidean distance of two arrays of doubles."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    if metric == "dot":
-        return dot(a, b)
-    if metric == "euclid":
-        return -F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    if metric == "cosine":
-        return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-    raise ValueError(f"unknown metric {metric}")
+#: The categories in which the chain looks for states and for traits.
+STATE_CATEGORIES = ("state_definition", "behavioral_marker", "linguistic_correlate", "evidence_mapping_example")
+TRAIT_CATEGORIES = ("trait_definition", "facet_definition", "evidence_mapping_example")
+
+
+def admitted(chunks: DataFrame, framework: str | None = None, categories: str | tuple[str, ...] | None = None) -> DataFrame:
+    """The chunks that a search may return: those of the framework or of both, and of the categories; null admits all.
+
+    Statistics of terms stay those of all chunks: apply this to the hits or to the candidates, not to what is indexed.
+    """
+    out = chunks
+    if framework and framework != "both":
+        out = out.where(F.col("framework").isin(framework, "both"))
+    if categories:
+        out = out.where(F.col("category").isin(*([categories] if isinstance(categories, str) else categories)))
+    return out
+
+
+def keyword_search(chunks: DataFrame, queries: DataFrame, k: int, framework: str | None = None, categories: str | tuple[str, ...] | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): BM25 over all chunks, then the filter, then the best k."""
+    kept = admitted(chunks, framework, categories).select("chunk_id")
+    return top_k(bm25(chunks, queries).withColumn("score", F.round("score", 9)).join(kept, "chunk_id", "left_semi"), k)
+
+
+def vector_search(chunks: DataFrame, queries: DataFrame, k: int, framework: str | None = None, categories: str | tuple[str, ...] | None = None, size: int = 64) -> DataFrame:
+    """(query_id, chunk_id, score, rank): cosine of hashed vectors of query and chunk text, among the chunks that the filter admits."""
+    from loomtext.operators.knowledge import hashed_vector
+
+    kept = admitted(chunks, framework, categories)
+    vectors = kept.select("chunk_id", hashed_vector(F.col("text"), size).alias("embedding")).where("embedding IS NOT NULL")
+    asked = queries.select("query_id", hashed_vector(F.col("query"), size).alias("query")).where("query IS NOT NULL")
+    return top_k(dense(vectors, asked, k, vector_id="chunk_id").select("query_id", "chunk_id", F.round("score", 9).alias("score")), k)
+
+
+def search(chunks: DataFrame, queries: DataFrame, how: str, k: int, framework: str | None = None, categories: str | tuple[str, ...] | None = None, alpha: float = 0.7, pool: int = 2) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by one retriever: keyword, semantic, hybrid or none.
+
+    hybrid fuses the ranks of the best pool * k hits of vectors and keywords over the same chunks; none finds nothing.
+    """
+    if how == "keyword":
+        return keyword_search(chunks, queries, k, framework, categories)
+    if how == "semantic":
+        return vector_search(chunks, queries, k, framework, categories)
+    if how == "hybrid":
+        return reciprocal_rank_fusion(vector_search(chunks, queries, pool * k, framework, categories), keyword_search(chunks, queries, pool * k, framework, categories), k, alpha)
+    if how == "none":
+        return keyword_search(chunks, queries, k, framework, categories).limit(0)
+    raise ValueError(f"unknown retriever {how}")
+
+
+def gold_match(trait: str = "expected_trait", category: str = "expected_category", pole: str = "expected_pole") -> Column:
+    """Whether a hit (trait, category, pole) is what its query expects; an expectation that is null holds for every hit.
+
+    A pole is met by the same pole or by BOTH.
+    """
+    same = lambda want, has: F.col(want).isNull() | F.coalesce(F.col(has) == F.col(want), F.lit(False))
+    return same(trait, "trait") & same(category, "category") & (same(pole, "pole") | F.coalesce(F.col("pole") == "BOTH", F.lit(False)))
+
+
+def misses(hits: DataFrame, queries: DataFrame, match: Column, k: int = 5) -> DataFrame:
+    """(query_id, top ARRAY): the queries that no hit of theirs meets, with their first k hits."""
+    met = hits.where(match).select("query_id").distinct()
+    top = hits.where(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("top"))
+    return queries.select("query_id").join(met, "query_id", "left_anti").join(top, "query_id", "left")
+
+
+def used_chunks(state_hits: DataFrame, trait_hits: DataFrame, chunks: DataFrame, limit: int = 20, width: int = 200) -> DataFrame:
+    """(query_id, place, chunk_id, shown): the chunks that a prompt is given: hits for states, then for traits, each once.
+
+    At most `limit` chunks of a query, of each the first `width` characters.
+    """
+    both = state_hits.select("query_id", "chunk_id", F.lit(0).alias("stage"), "rank").unionByName(trait_hits.select("query_id", "chunk_id", F.lit(1).alias("stage"), "rank"))
+    once = both.groupBy("query_id", "chunk_id").agg(F.min(F.struct("stage", "rank")).alias("at"))
+    w = Window.partitionBy("query_id").orderBy("at", "chunk_id")
+    placed = once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    return placed.join(chunks.select("chunk_id", F.substring("text", 1, width).alias("shown")), "chunk_id").select("query_id", F.col("place").cast("bigint").alias("place"), "chunk_id", "shown")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", vector_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query: str = "query") -> DataFrame:

@@ -24,16 +24,19 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str, block: int) -> DataFrame:
     """(query id, vector id, score): the best k of each query within each batch of vectors.
 
-    The stated queries are sent to every partition and kept there; the vectors stream past them in Arrow batches, which
-    are multiplied with blocks of queries.
+    A grid: the stated queries are dealt to blocks of about `block`, and every part of the vectors meets each block in a
+    group of its own, so a task holds one block of queries while a part of the vectors streams past it in Arrow batches.
     """
     vid, vec = vectors.columns
     qid, q = queries.columns
     spark = vectors.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    left = vectors.select(F.pmod(F.xxhash64(vid), F.lit(parts)).alias("part"), F.lit(1).alias("side"), F.col(vid).alias("id"), vec)
-    right = queries.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), F.lit(0).alias("side"), F.col(qid).alias("id"), F.col(q).alias(vec))
-    both = left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "side")
+    blocks = max(1, -(-queries.count() // block))
+    part, share = F.pmod(F.xxhash64(vid), F.lit(parts)), F.pmod(F.xxhash64(qid), F.lit(blocks))
+    numbers = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    left = vectors.select(F.explode(F.transform(numbers(blocks), lambda b: b * parts + part)).alias("part"), F.lit(1).alias("side"), F.col(vid).cast("string").alias("id"), vec)
+    right = queries.select(F.explode(F.transform(numbers(parts), lambda p: p + parts * share)).alias("part"), F.lit(0).alias("side"), F.col(qid).cast("string").alias("id"), F.col(q).alias(vec))
+    both = left.unionByName(right).repartition(parts * blocks, "part").sortWithinPartitions("part", "side")
 
     def search(v: np.ndarray, ids: list, qs: np.ndarray, q_ids: list) -> Iterator[pa.RecordBatch]:
         if metric == "euclid":
@@ -46,7 +49,7 @@ def blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str,
         # all that reach the k-th best score, so that ties are settled later
         kth = np.partition(scores, -k, axis=1)[:, [-k]] if scores.shape[1] > k else np.full((len(qs), 1), -np.inf)
         r, c = np.nonzero(scores >= kth - 1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array([q_ids[i] for i in r], pa.int64()), pa.array([ids[i] for i in c], pa.int64()), pa.array(scores[r, c], pa.float64())], names=[qid, vid, "score"])
+        yield pa.RecordBatch.from_arrays([pa.array([q_ids[i] for i in r], pa.string()), pa.array([ids[i] for i in c], pa.string()), pa.array(scores[r, c], pa.float64())], names=[qid, vid, "score"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, kept, kept_ids = None, [], []
@@ -68,4 +71,5 @@ def blockwise_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str,
                     for start in range(0, len(kept_ids), block):
                         yield from search(m[ok], ids, asked[start : start + block], kept_ids[start : start + block])
 
-    return both.mapInArrow(run, f"{qid} bigint, {vid} bigint, score double")
+    found = both.mapInArrow(run, f"{qid} string, {vid} string, score double")
+    return found.withColumns({qid: F.col(qid).cast(queries.schema[qid].dataType), vid: F.col(vid).cast(vectors.schema[vid].dataType)})

@@ -73,7 +73,7 @@ def test_chunks_against_a_loop(spark, size, overlap, least):
     rng = random.Random(size)
     texts = ["\n\n".join(" ".join("w" * rng.randint(1, 5) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 8))) for _ in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = {r.i: r.c for r in df.select("i", knowledge.paragraph_chunks(F.col("t"), size, overlap, least).alias("c")).collect()}
+    got = {r.i: r.c for r in knowledge.packed(df, F.col("t"), size, overlap, least, into="c").collect()}
     assert got == {i: plain_chunks(t, size, overlap, least) for i, t in enumerate(texts)}
 
 
