@@ -57,8 +57,8 @@ FIT_ROWS = 10_000
 #: log P of the sign U+FFFD in the clean state and that of letters lost to "?", in those of encodings, in its own.
 SIGN = (-30.0, -3.0, -0.1)
 _NEVER = -50.0
-#: Cost, in nats, of leaving the clean state, and of leaving it for a substitute sign; and by how much a restored span must be the likelier text.
-SWITCH, SWITCH_TO_SIGN = 11.0, 1.0
+#: Cost, in nats, of leaving the clean state, and of leaving it for a substitute sign, of coming back; and by how much a restored span must be the likelier text.
+SWITCH, SWITCH_TO_SIGN, BACK = 11.0, 1.0, 0.5
 MARGIN = 4.0
 _HAN = (0x4E00, 0x9FFF)
 _INNER_QUESTION = r"(?U)\p{L}\?+\p{L}"
@@ -289,20 +289,23 @@ def label(text: str, model: Model, lost: dict[int, str]) -> np.ndarray:
         open_[after[after < n]] = True
     shut = ~open_[at]
     emit[shut, LOST] = np.where(odd[at][shut], emit[shut, 0] - 4.0, emit[shut, 0])
-    gain = np.maximum(0, emit - emit[:, :1]).sum(axis=0)
-    states = np.concatenate([[0], np.flatnonzero(gain > np.where(np.arange(STATES) == SUBSTITUTE, SWITCH_TO_SIGN, SWITCH))])
+    # a run of a state pays only where it gains on the clean state what entering costs; runs that don't are in no best path
+    ahead = np.vstack([np.zeros(STATES), np.cumsum(emit - emit[:, :1], axis=0)])
+    gain = (ahead[1:] - np.minimum.accumulate(ahead[:-1], axis=0)).max(axis=0)
+    states = np.concatenate([[0], 1 + np.flatnonzero(gain[1:] > np.where(np.arange(1, STATES) == SUBSTITUTE, SWITCH_TO_SIGN, SWITCH - BACK))])
     if len(states) == 1:
         return labels
-    e = emit[:, states]
+    e, order = np.ascontiguousarray(emit[:, states]), np.arange(len(states))
+    signs = states[-1] == SUBSTITUTE
     best, back = e[0] - np.where(states == SUBSTITUTE, SWITCH_TO_SIGN, np.where(states > 0, SWITCH, 0)), np.zeros((len(at), len(states)), np.int64)
+    cost = np.where(states == 0, BACK, SWITCH)
     for k in range(1, len(at)):
-        top = int(best.argmax())
-        hop, source = np.where(states == 0, best[top] - 0.5, best[top] - SWITCH), np.full(len(states), top)
-        if states[-1] == SUBSTITUTE and best[0] - SWITCH_TO_SIGN > hop[-1]:
-            hop[-1], source[-1] = best[0] - SWITCH_TO_SIGN, 0
-        stay = best >= hop
-        back[k] = np.where(stay, np.arange(len(states)), source)
-        best = np.where(stay, best, hop) + e[k]
+        top = best.argmax()
+        hop = best[top] - cost
+        back[k] = np.where(best >= hop, order, top)
+        if signs and best[0] - SWITCH_TO_SIGN > max(hop[-1], best[-1]):
+            hop[-1], back[k, -1] = best[0] - SWITCH_TO_SIGN, 0
+        best = np.maximum(best, hop) + e[k]
     s = int(best.argmax())
     path = np.empty(len(at), np.int64)
     for k in range(len(at) - 1, -1, -1):
