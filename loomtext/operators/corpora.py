@@ -14,11 +14,13 @@ from loomtext.functions import text as X
 from loomtext.session import written
 
 
-def forum_records(rows: DataFrame, min_words: int = 10, id_col: str = "row_id") -> DataFrame:
+def forum_records(rows: DataFrame, min_words: int = 10, id_col: str = "row_id", normalize: bool = True) -> DataFrame:
     """One record for each user with a valid type and a post of at least min_words; all within the row, no shuffle."""
-    posts = F.split(F.regexp_replace("posts", "^'|'$", ""), r"\|\|\|")
+    normal = X.nfkc(F.col("posts")) if normalize else F.col("posts")  # the whole row's text at once: posts are an array
+    posts = F.split(F.regexp_replace("_normal", "^'|'$", ""), r"\|\|\|")
     kept = F.filter(F.transform(posts, lambda p: X.clean(p, normalize=False)), lambda p: X.word_count(p) >= min_words)
-    out = rows.select(id_col, "posts", L.mbti("mbti_type").alias("label_mbti"), kept.alias("kept")).where("label_mbti IS NOT NULL AND size(kept) > 0")
+    own = rows.withColumns({"label_mbti": L.mbti("mbti_type"), "_normal": normal}).where("label_mbti IS NOT NULL")
+    out = own.select(id_col, "posts", "label_mbti", kept.alias("kept")).where("size(kept) > 0")
     total = F.aggregate("kept", F.lit(0).cast("bigint"), lambda a, p: a + X.word_count(p))
     return out.select(
         id_col, L.record_id("mbti", "posts").alias("id"), F.array_join("kept", " ").alias("text"), "label_mbti", F.size("kept").cast("bigint").alias("n_posts"), F.round(total / F.size("kept"), 6).alias("mean_words")
@@ -41,21 +43,24 @@ def eligible_authors(profiles: DataFrame) -> DataFrame:
     return each.groupBy("author").agg(F.max("label_mbti").alias("label_mbti"), F.max("complete").alias("complete")).where("label_mbti IS NOT NULL OR complete")
 
 
-def usable_comments(comments: DataFrame, authors: DataFrame, min_words: int = 5) -> DataFrame:
-    """(comment_id, author, cleaned) of English comments of eligible authors that no bot wrote; cheap tests come first."""
+def usable_comments(comments: DataFrame, authors: DataFrame, min_words: int = 5, normalize: bool = True) -> DataFrame:
+    """(comment_id, author, cleaned) of English comments of eligible authors that no bot wrote; cheap tests come first.
+
+    Cleaned texts are written before their words are counted: as one plan the cleaning would stand in it twice.
+    """
     plain = comments.where("body IS NOT NULL AND lang = 'en'").withColumn("author", X.strip("author"))
-    plain = plain.where((X.strip("body") != "") & ~X.is_bot("body"))
-    cleaned = plain.withColumn("cleaned", X.clean(X.forum_clean("body"), normalize=False)).where(X.word_count("cleaned") >= min_words)
-    return cleaned.join(authors.select("author"), "author", "left_semi").select("comment_id", "author", "cleaned")
+    plain = plain.where((X.strip("body") != "") & ~X.is_bot("body")).join(authors.select("author"), "author", "left_semi")
+    cleaned = written(plain.select("comment_id", "author", X.clean(X.forum_clean("body"), normalize=normalize).alias("cleaned")), "cleaned")
+    return cleaned.where(X.word_count("cleaned") >= min_words)
 
 
-def author_records(comments: DataFrame, profiles: DataFrame, per_author: int = 100) -> DataFrame:
+def author_records(comments: DataFrame, profiles: DataFrame, per_author: int = 100, normalize: bool = True) -> DataFrame:
     """One record for each eligible author: at most per_author comments, those whose ids' MD5 comes first.
 
     The limit is applied before the shuffle too, so an author with a large share of all rows is no hot spot.
     """
     authors = eligible_authors(profiles)
-    usable = written(usable_comments(comments, authors), "usable")  # cleaned once, read for totals and sample
+    usable = usable_comments(comments, authors, normalize=normalize)
     totals = usable.groupBy("author").agg(F.count("*").alias("n_total"))
     order = Window.partitionBy("author").orderBy(F.md5(F.col("comment_id").cast("string")), "comment_id")
     chosen = usable.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_author)

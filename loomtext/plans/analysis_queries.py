@@ -269,10 +269,11 @@ def paired_bootstrap_whole(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "wilcoxon",
     """WITH s AS (SELECT round(abs(openness - neuroticism), 9) AS m, openness > neuroticism AS up FROM author_profiles WHERE openness IS NOT NULL AND neuroticism IS NOT NULL AND openness <> neuroticism),
-        r AS (SELECT up, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2 AS k FROM s) SELECT count(*) AS n, round(coalesce(sum(k) FILTER (WHERE up), 0), 3) AS w_plus, round(coalesce(sum(k) FILTER (WHERE NOT up), 0), 3) AS w_minus FROM r""",
+        r AS (SELECT up, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2 AS k FROM s) SELECT count(*) AS n, round(coalesce(sum(k) FILTER (WHERE up), 0), 3) AS w_plus, round(coalesce(sum(k) FILTER (WHERE NOT up), 0), 3) AS w_minus,
+            round((coalesce(sum(k) FILTER (WHERE up), 0) - count(*) * (count(*) + 1) / 4) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24 - (SELECT sum(t * t * t - t) FROM (SELECT count(*) AS t FROM s GROUP BY m)) / 48), 6) AS z FROM r""",
 )
 def wilcoxon(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.wilcoxon(table(spark, d, "author_profiles"), F.col("openness"), F.col("neuroticism")).select("n", "w_plus", "w_minus")
+    return metrics.wilcoxon(table(spark, d, "author_profiles"), F.col("openness"), F.col("neuroticism")).select("n", "w_plus", "w_minus", "z")
 
 
 @register("rating_agreement")

@@ -35,6 +35,12 @@ _FORUM = rf"""SELECT row_id, 'mbti_' || substr(md5(posts), 1, 8) AS id, array_to
 
 @register("forum_records", _FORUM)
 def forum_records(spark: SparkSession, d: str) -> DataFrame:
+    """Without the normal form, which DuckDB lacks; forum_records_normal is the whole job."""
+    return corpora.forum_records(table(spark, d, "forum_types"), normalize=False)
+
+
+@register("forum_records_normal")
+def forum_records_normal(spark: SparkSession, d: str) -> DataFrame:
     return corpora.forum_records(table(spark, d, "forum_types"))
 
 
@@ -67,10 +73,16 @@ def eligible_authors(spark: SparkSession, d: str) -> DataFrame:
         JOIN (SELECT author, count(*) AS n_total FROM u GROUP BY author) USING (author) JOIN a USING (author)""",
 )
 def author_records(spark: SparkSession, d: str) -> DataFrame:
-    out = corpora.author_records(table(spark, d, "comments", True), table(spark, d, "author_profiles"))
+    """Without the normal form, which DuckDB lacks; author_records_normal is the whole job."""
+    out = corpora.author_records(table(spark, d, "comments", True), table(spark, d, "author_profiles"), normalize=False)
     return out.select("id", "author", "label_mbti", "n_sampled", "n_total", F.md5("text").alias("text_md5"))
 
 
+@register("author_records_normal")
+def author_records_normal(spark: SparkSession, d: str) -> DataFrame:
+    return corpora.author_records(table(spark, d, "comments", True), table(spark, d, "author_profiles"))
+
+
 _SAID = f"""SELECT DISTINCT dialogue_id, coalesce(speaker, 'UNKNOWN') AS speaker, utt_id, {sql_strip(rf"regexp_replace(regexp_replace({sql_strip('utterance')}, '^Utterance[ \t]+[0-9]+[ \t]+.+?[ \t]+said:{W}*', ''), '^第[0-9]+句.+?说[：:]', '')")} AS said
     FROM dialogue_turns WHERE utterance IS NOT NULL AND dialogue_id IS NOT NULL"""
 

@@ -39,13 +39,15 @@ _CATS = str(L.CATEGORIES)
 @register(
     "kb_validation",
     f"""SELECT chunk_id, array_to_string(list_filter([CASE WHEN coalesce(chunk_id, '') = '' THEN 'missing chunk_id' END, CASE WHEN coalesce({sql_strip("text")}, '') = '' THEN 'missing text' END, CASE WHEN coalesce(framework, '') = '' THEN 'missing metadata.framework' END,
-        CASE WHEN coalesce(category, '') = '' THEN 'missing metadata.category' END, CASE WHEN coalesce(source_id, '') = '' THEN 'missing metadata.source_id' END, CASE WHEN coalesce(lang, '') = '' THEN 'missing metadata.language' END,
+        CASE WHEN coalesce(category, '') = '' THEN 'missing metadata.category' END, CASE WHEN coalesce(source_id, '') = '' THEN 'missing metadata.source_id' END, CASE WHEN coalesce(trait, '') = '' THEN 'missing metadata.quality_tier' END, CASE WHEN coalesce(lang, '') = '' THEN 'missing metadata.language' END,
         CASE WHEN category IS NULL OR category NOT IN {_CATS} THEN 'invalid category: ' || coalesce(category, 'None') END,
+        CASE WHEN trait IS NULL OR trait NOT IN ('A', 'B', 'C') THEN 'invalid quality_tier: ' || coalesce(trait, 'None') END,
         CASE WHEN framework = 'ocean' AND coalesce(category, '') NOT IN ('evidence_mapping_example', 'few_shot_example') AND (trait IS NULL OR trait NOT IN ('O', 'C', 'E', 'A', 'N')) THEN 'ocean chunk missing valid trait' END,
         CASE WHEN coalesce(pole, '') <> '' AND pole NOT IN ('HIGH', 'LOW', 'BOTH') THEN 'invalid pole: ' || pole END], lambda e: e IS NOT NULL), '; ') AS errors FROM kb_chunks""",
 )
 def kb_validation(spark: SparkSession, d: str) -> DataFrame:
-    c = {k: F.col(k) for k in ("chunk_id", "text", "framework", "category", "source_id", "lang", "trait", "pole")} | {"tier": F.lit("C")}
+    """The table has no tier: the trait's letter, which is one of A to C or none of them, stands for it."""
+    c = {k: F.col(k) for k in ("chunk_id", "text", "framework", "category", "source_id", "lang", "trait", "pole")} | {"tier": F.col("trait")}
     return table(spark, d, "kb_chunks").select("chunk_id", F.array_join(L.validation_errors(c), "; ").alias("errors"))
 
 
