@@ -35,6 +35,8 @@ FORM_BITS = 7.0
 STRANGE = -4.0
 #: Before any text is seen an entity is expected once in so many words, and every second candidate of a form is one.
 PRIOR_WORDS = 10_000
+#: The context of what stands behind a number.
+NUMBER = "#"
 #: Bits of the broadcast filter of name terms: 16 for each term, within these bounds of their logarithm (at most 32 MB).
 FILTER_BITS = (22, 28)
 
@@ -138,10 +140,12 @@ def number_cue(text: str, start: int) -> str | None:
 
 
 def context(text: str, start: int) -> str | None:
-    """The word before a place, or the two Han characters; null at the beginning and behind a number."""
+    """The word before a place, or the two Han characters; NUMBER behind a number, null at the beginning."""
     end = _before(text, start, lambda c: not c.isalnum())
     if end and "一" <= text[end - 1] <= "鿿":
         return text[max(0, end - 2) : end]
+    if end and text[end - 1].isdigit():
+        return NUMBER
     word = text[_before(text, end, str.isalpha) : end]
     return word.lower() or None
 
@@ -357,7 +361,8 @@ def _bases(rows: DataFrame, terms: DataFrame) -> DataFrame:
 def learnt_cues(rows: DataFrame, terms: DataFrame, bases: DataFrame) -> DataFrame:
     """(kind, context, context_bits): the words before the candidates (kind, context) that reveal them by at least a bit."""
     hits = rows.where("context IS NOT NULL").groupBy("kind", "context").agg(F.count("*").alias("hits"))
-    seen = hits.join(terms.where("space = 'w'").select(F.col("term").alias("context"), "n"), "context").join(bases, "kind")
+    numbers_ = terms.where("space = 'd'").agg(F.lit(NUMBER).alias("context"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    seen = hits.join(terms.where("space = 'w'").select(F.col("term").alias("context"), "n").unionByName(numbers_), "context").join(bases, "kind")
     bits = F.log2(F.col("hits") / F.greatest("n", "hits") / F.col("base"))
     return seen.select("kind", "context", bits.alias("context_bits")).where("context_bits >= 1")
 
