@@ -26,6 +26,10 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) ->
     return spark
 
 
+#: Whether Spark deletes a query's shuffle files at its end; later reads of a written table need none of them.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by all executors that spark.checkpoint.dir names.
 
@@ -43,11 +47,17 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut the lineage of df with a Parquet table in the shared folder and read it again.
 
-    Compressed and columnar, so cheaper than checkpoint(); it survives the loss of executors.
+    Compressed and columnar, so cheaper than checkpoint(); it survives the loss of executors. The shuffle files that led
+    to it go once it is written.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
     table_ = spark.read.schema(df.schema).parquet(path)
     table_.scratch_path = path
     return table_
