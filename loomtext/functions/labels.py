@@ -41,6 +41,24 @@ def mbti_axes(c: Column | str) -> Column:
     return F.when(F.length(up) == 4, pairs).otherwise(F.expr("cast(map() as map<string,string>)"))
 
 
+def assembled_type(axes: Column, default: str = "INTP") -> Column:
+    """The type that a map of axis to letter makes; a letter that is missing or not of its axis is that of `default`."""
+    own = {axis: F.element_at(axes, F.lit(axis)) for axis, _ in AXES}
+    return F.concat(*(F.when(own[axis].isin(*axis), own[axis]).otherwise(default[k - 1]) for axis, k in AXES))
+
+
+def inferred_trait(trait: Column | str, signals: Column) -> Column:
+    """The trait, else the first of the five that is the first letter of a signal; null without any."""
+    letters = F.filter(F.transform(signals, lambda s: F.upper(F.substring(s, 1, 1))), lambda c: c.isin(*TRAITS))
+    up = F.upper(_c(trait))
+    return F.when(up.isin(*TRAITS), up).otherwise(F.get(letters, F.lit(0)))
+
+
+def prior_label(levels: dict[str, Column]) -> Column:
+    """O:HIGH,C:LOW,... ; null where a trait is missing."""
+    return F.concat(*(x for k, t in enumerate(TRAITS) for x in (F.lit(f"{',' * (k > 0)}{t}:"), levels[t])))
+
+
 def yes_no_level(c: Column | str) -> Column:
     return F.when(F.lower(_c(c)) == "y", "HIGH").otherwise("LOW")
 

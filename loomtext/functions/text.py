@@ -131,7 +131,7 @@ def cjk_share(c: ColumnOrName) -> Column:
 
 
 def integers(c: ColumnOrName) -> Column:
-    return F.transform(F.regexp_extract_all(_c(c), F.lit(r"[0-9]+"), F.lit(0)), lambda x: x.cast("bigint"))
+    return F.transform(F.regexp_extract_all(_c(c), F.lit(r"[0-9]+"), F.lit(0)), lambda x: x.try_cast("bigint"))
 
 
 def near_hash(c: ColumnOrName) -> Column:

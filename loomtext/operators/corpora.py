@@ -95,3 +95,20 @@ def evidence_quotes(evidence: DataFrame, turns: DataFrame) -> DataFrame:
     joined = lambda cond: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("utt_id", "said")))), lambda x: x["said"]), " ")
     quotes = found.groupBy("key").agg(F.nullif(joined(F.col("speaker") == F.col("target")), F.lit("")).alias("own"), joined(F.lit(True)).alias("any"))
     return each.join(quotes, "key", "left").select("dialogue_id", "speaker", "trait", "level", F.coalesce("own", "any").alias("quote"))
+
+
+def annotated_dialogues(annotations: DataFrame, dialogues: DataFrame) -> DataFrame:
+    """annotations with `turns`, their speaker's lines in their dialogue: none where there is no such dialogue.
+
+    Annotations of a speaker who has no dialogue at all are left out.
+    """
+    listed = dialogues.groupBy("speaker", "dialogue_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("turns"))
+    known = annotations.join(dialogues.select("speaker").distinct(), "speaker", "left_semi")
+    return known.join(listed, ["speaker", "dialogue_id"], "left").withColumn("turns", F.coalesce("turns", F.array().cast("array<string>")))
+
+
+def quotes_in_text(quotes: DataFrame, records: DataFrame) -> DataFrame:
+    """(trait, items, n_quotes, in_text): evidence, quotes that aren't empty, and those that stand in their speaker's record."""
+    own = quotes.join(records.select("dialogue_id", "speaker", "text"), ["dialogue_id", "speaker"], "left")
+    some = F.col("quote") != ""
+    return own.groupBy("trait").agg(F.count("*").alias("items"), F.count_if(some).alias("n_quotes"), F.count_if(some & F.contains("text", "quote")).alias("in_text"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as X
@@ -19,9 +21,14 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataF
 
 
 def splits(spark: SparkSession, folder: str, schema: str = RECORD, names: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
-    """All splits of a corpus in one scan, with split_file from the file's name."""
+    """All splits of a corpus in one scan, with split_file from the name of the file, or of the folder of part files."""
     rows = json_lines(spark, [f"{folder}/{n}.jsonl" for n in names], schema)
-    return rows.withColumn("split_file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1))
+    return rows.withColumn("split_file", _stem())
+
+
+def _stem() -> Column:
+    """The name of the file, or of the folder of part files, that ends in .jsonl."""
+    return F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:/[^/]*)?$", 1)
 
 
 def delimited(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
@@ -37,20 +44,18 @@ def forum_types(spark: SparkSession, path: str) -> DataFrame:
     return delimited(spark, path, "mbti_type string, posts string")
 
 
-def dialogues(spark: SparkSession, path: str) -> DataFrame:
-    """(speaker, dialogue_id, pos, line) of {speaker: {dialogue: {id: [line]}}} documents."""
-    whole = spark.read.text(path, wholetext=True)
-    parsed = whole.select(F.from_json("value", "map<string,struct<dlg_num:int,dialogue:map<string,array<string>>>>").alias("m"))
+def dialogues(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """(speaker, dialogue_id, pos, line) of {speaker: {dialogue: {id: [line]}}} documents: files, or else lines."""
+    parsed = spark.read.text(path, wholetext=whole).select(F.from_json("value", "map<string,struct<dlg_num:int,dialogue:map<string,array<string>>>>").alias("m"))
     by_speaker = parsed.select(F.explode("m").alias("speaker", "d"))
     by_dialogue = by_speaker.select("speaker", F.explode("d.dialogue").alias("dialogue_id", "lines"))
     return by_dialogue.select("speaker", "dialogue_id", F.posexplode("lines").alias("pos", "line"))
 
 
-def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(speaker, dialogue_id, trait, level, utt_ids, nat_lang) of nested annotation documents."""
-    whole = spark.read.text(path, wholetext=True)
+def annotations(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """(speaker, dialogue_id, trait, level, utt_ids, nat_lang) of nested annotation documents: files, or else lines."""
     item = "struct<level:string,utt_id:string,nat_lang:string>"
-    parsed = whole.select(F.from_json("value", f"map<string,struct<annotation:map<string,map<string,{item}>>>>").alias("m"))
+    parsed = spark.read.text(path, wholetext=whole).select(F.from_json("value", f"map<string,struct<annotation:map<string,map<string,{item}>>>>").alias("m"))
     a = parsed.select(F.explode("m").alias("speaker", "v")).select("speaker", F.explode("v.annotation").alias("dialogue_id", "t")).select("speaker", "dialogue_id", F.explode("t").alias("trait", "i"))
     return a.select("speaker", "dialogue_id", "trait", "i.level", X.integers("i.utt_id").alias("utt_ids"), "i.nat_lang")
 
@@ -65,11 +70,30 @@ def kb_source(spark: SparkSession, path: str, stem: str) -> DataFrame:
     return parsed.select(F.coalesce("r.chunk_id", F.format_string(f"{stem}_%05d", F.col("line") + 1)).alias("chunk_id"), "r.text", "r.metadata", (F.col("line") + 1).alias("line"))
 
 
+def catalogue(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(chunk_id, text, metadata) of all sources: JSON Lines, or markdown and plain files as one chunk each.
+
+    A source that is missing, or of another kind, is left out with a warning.
+    """
+    out = spark.createDataFrame([], "chunk_id string, text string, metadata map<string,string>")
+    for path in paths:
+        name = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stem, _, kind = name.getName().rpartition(".")
+        if kind not in ("jsonl", "md", "txt") or not name.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(name):
+            warnings.warn(f"source left out: {path}", stacklevel=2)
+        elif kind == "jsonl":
+            out = out.unionByName(kb_source(spark, path, stem).drop("line"))
+        else:
+            text = spark.read.text(path, wholetext=True).where(X.strip("value") != "")
+            out = out.unionByName(text.select(X.safe_name(F.lit(stem)).alias("chunk_id"), F.col("value").alias("text"), F.expr("cast(map() as map<string,string>)").alias("metadata")))
+    return out
+
+
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(method, tier, trait, id, gold_label, predicted_label): every file of a folder; rows without both labels are dropped."""
-    rows = json_lines(spark, path, PREDICTION).withColumn("method", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1))
+    """(method, tier, dataset, trait, id, gold_label, predicted_label): every file of a folder; rows without both labels are dropped."""
+    rows = json_lines(spark, path, PREDICTION).withColumn("method", _stem())
     full = rows.where("coalesce(gold_label, '') <> '' AND coalesce(predicted_label, '') <> ''")
-    return full.select("method", F.regexp_extract("method", r"^(tier[0-9]\w?)_", 1).alias("tier"), F.regexp_extract("method", r"_ocean_([OCEAN])_", 1).alias("trait"), "id", "gold_label", "predicted_label")
+    return full.select("method", F.regexp_extract("method", r"^(tier[0-9]\w?)_", 1).alias("tier"), F.regexp_extract("method", r"^tier[0-9]\w?_([a-z]+)_", 1).alias("dataset"), F.regexp_extract("method", r"_ocean_([OCEAN])_", 1).alias("trait"), "id", "gold_label", "predicted_label")
 
 
 def word_vectors(spark: SparkSession, path: str, vocabulary: DataFrame) -> DataFrame:

@@ -47,6 +47,11 @@ def evaluation_form(predictions: DataFrame, columns: int = 3, length: int = 500)
     return predictions.select(F.substring(F.md5(F.col("id").cast("string")), 1, 8).alias("blind_id"), F.substring("text", 1, length).alias("snippet"), *quotes, "predicted")
 
 
+def prediction_file(rows: DataFrame, folder: str, model: str, dataset: str, task: str) -> None:
+    """Predictions as <model>_<dataset>_<task>.jsonl."""
+    rows.select("id", "text", "gold_label", "predicted_label").write.mode("overwrite").json(f"{folder}/{model}_{dataset}_{task}.jsonl")
+
+
 def metric_rows(metrics: DataFrame, run: str, prefix: str, step: int) -> DataFrame:
     """(run, key, step, value): one row for each numeric column, keys with their prefix."""
     kept = [c for c, t in metrics.dtypes if t in ("double", "bigint", "int", "float")]
