@@ -240,26 +240,34 @@ _DRAW = "(('0x' || substr(md5(doc_id::VARCHAR || '/' || r::VARCHAR), 1, 8))::BIG
 _WEIGHT = f"CASE WHEN {_DRAW} < 0.36787944117144233 THEN 0 WHEN {_DRAW} < 0.7357588823428847 THEN 1 WHEN {_DRAW} < 0.9196986029286058 THEN 2 WHEN {_DRAW} < 0.9810118431238462 THEN 3 WHEN {_DRAW} < 0.9963401531726563 THEN 4 WHEN {_DRAW} < 0.9994058151824183 THEN 5 WHEN {_DRAW} < 0.999916758850712 THEN 6 ELSE 7 END"
 
 
-@register("bootstrap_interval", f"WITH m AS (SELECT r, sum(w * v) / sum(w) AS m FROM (SELECT r, v, {_WEIGHT} AS w FROM (SELECT doc_id, (a = y)::INT::DOUBLE AS v FROM {_PRED}), (SELECT unnest(range(1, 101)) AS r)) GROUP BY r) SELECT (SELECT count(*) FROM {_PRED}) AS n, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper, round(stddev_pop(m), 6) AS std FROM m")
+def _interval_sql(replicates: int) -> str:
+    return f"WITH m AS (SELECT r, sum(w * v) / sum(w) AS m FROM (SELECT r, v, {_WEIGHT} AS w FROM (SELECT doc_id, (a = y)::INT::DOUBLE AS v FROM {_PRED}), (SELECT unnest(range(1, {replicates + 1})) AS r)) GROUP BY r) SELECT (SELECT count(*) FROM {_PRED}) AS n, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper, round(stddev_pop(m), 6) AS std FROM m"
+
+
+@register("bootstrap_interval", _interval_sql(100))
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d)
     return metrics.bootstrap(p, F.col("doc_id"), (F.col("a") == F.col("y")).cast("int"), 100)
 
 
-@register("bootstrap_interval_whole")
+@register("bootstrap_interval_whole", _interval_sql(1000))
 def bootstrap_interval_whole(spark: SparkSession, d: str) -> DataFrame:
     """bootstrap_interval with the reference's 1,000 replicates."""
     p = predictions(spark, d)
     return metrics.bootstrap(p, F.col("doc_id"), (F.col("a") == F.col("y")).cast("int"), 1000)
 
 
-@register("paired_bootstrap", f"WITH s AS (SELECT doc_id, (a = y)::INT::DOUBLE - (b = y)::INT AS v FROM {_PRED}), m AS (SELECT r, sum(w * v) / sum(w) AS m FROM (SELECT r, v, {_WEIGHT} AS w FROM s, (SELECT unnest(range(1, 101)) AS r)) GROUP BY r) SELECT (SELECT count(*) FROM s) AS n, (SELECT round(avg(v), 6) FROM s) AS delta, round(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), 6) AS p FROM m")
+def _paired_sql(replicates: int) -> str:
+    return f"WITH s AS (SELECT doc_id, (a = y)::INT::DOUBLE - (b = y)::INT AS v FROM {_PRED}), m AS (SELECT r, sum(w * v) / sum(w) AS m FROM (SELECT r, v, {_WEIGHT} AS w FROM s, (SELECT unnest(range(1, {replicates + 1})) AS r)) GROUP BY r) SELECT (SELECT count(*) FROM s) AS n, (SELECT round(avg(v), 6) FROM s) AS delta, round(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), 6) AS p FROM m"
+
+
+@register("paired_bootstrap", _paired_sql(100))
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d)
     return metrics.paired_bootstrap(p, F.col("doc_id"), (F.col("a") == F.col("y")).cast("int"), (F.col("b") == F.col("y")).cast("int"), 100)
 
 
-@register("paired_bootstrap_whole")
+@register("paired_bootstrap_whole", _paired_sql(10_000))
 def paired_bootstrap_whole(spark: SparkSession, d: str) -> DataFrame:
     """paired_bootstrap with the reference's 10,000 replicates."""
     p = predictions(spark, d)

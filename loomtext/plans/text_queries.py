@@ -53,17 +53,18 @@ def _prepared(spark: SparkSession, d: str, limit: int) -> DataFrame:
     return docs.select("doc_id", F.when(F.col("c").isNotNull(), n).alias("n_words"), F.when(F.col("c").isNotNull(), n >= 10).alias("valid"), F.when(n >= 10, X.truncate_words("c", limit)).alias("prepared"))
 
 
-@register(
-    "text_prepared",
-    rf"""SELECT doc_id, n_words, n_words >= 10 AS valid, CASE WHEN n_words >= 10 THEN cut END AS prepared FROM (
-        SELECT doc_id, c, len(w)::BIGINT AS n_words, CASE WHEN len(w) > 200 THEN array_to_string(w[1:200], ' ') ELSE c END AS cut
-        FROM (SELECT doc_id, c, {sql_words("c")} AS w FROM (SELECT doc_id, {SQL_CLEAN} AS c FROM documents)))""",
-)
+def _prepared_sql(limit: int) -> str:
+    return rf"""SELECT doc_id, n_words, n_words >= 10 AS valid, CASE WHEN n_words >= 10 THEN cut END AS prepared FROM (
+        SELECT doc_id, c, len(w)::BIGINT AS n_words, CASE WHEN len(w) > {limit} THEN array_to_string(w[1:{limit}], ' ') ELSE c END AS cut
+        FROM (SELECT doc_id, c, {sql_words("c")} AS w FROM (SELECT doc_id, {SQL_CLEAN} AS c FROM documents)))"""
+
+
+@register("text_prepared", _prepared_sql(200))
 def text_prepared(spark: SparkSession, d: str) -> DataFrame:
     return _prepared(spark, d, 200)
 
 
-@register("text_prepared_whole")
+@register("text_prepared_whole", _prepared_sql(2000))
 def text_prepared_whole(spark: SparkSession, d: str) -> DataFrame:
     """text_prepared with the reference's limit of 2,000 words."""
     return _prepared(spark, d, 2000)
@@ -145,29 +146,34 @@ def text_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5("text").alias("exact"), X.near_hash("text").alias("near"), X.content_key("text").alias("content_key"))
 
 
-@register("head_tail", f"SELECT doc_id, array_to_string(CASE WHEN len(w) > 20 THEN w[1:10] || w[-10:] ELSE w END, ' ') AS kept FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)")
+def _head_tail_sql(length: int) -> str:
+    return f"SELECT doc_id, array_to_string(CASE WHEN len(w) > {length} THEN w[1:{length // 2}] || w[-{length // 2}:] ELSE w END, ' ') AS kept FROM (SELECT doc_id, {sql_words('text')} AS w FROM documents)"
+
+
+@register("head_tail", _head_tail_sql(20))
 def head_tail(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(X.head_tail(X.words("text"), 20), " ").alias("kept"))
 
 
-@register("head_tail_whole")
+@register("head_tail_whole", _head_tail_sql(512))
 def head_tail_whole(spark: SparkSession, d: str) -> DataFrame:
     """head_tail with the reference's 512 tokens."""
     return table(spark, d, "documents").select("doc_id", F.array_join(X.head_tail(X.words("text"), 512), " ").alias("kept"))
 
 
-@register(
-    "vocabulary_encoded",
-    f"""WITH t AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, {sql_words("lower(text)")} AS x FROM documents))),
-        v AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) + 1 AS id FROM (SELECT w, count(*) AS n FROM t GROUP BY w ORDER BY n DESC, w LIMIT 998)),
-        e AS (SELECT t.doc_id, array_agg(coalesce(v.id, 1) ORDER BY i) AS ids FROM t LEFT JOIN v USING (w) WHERE i <= 16 GROUP BY t.doc_id)
-        SELECT doc_id, array_to_string(list_resize(coalesce(ids, []), 16, 0), ' ') AS ids FROM (SELECT doc_id FROM documents) LEFT JOIN e USING (doc_id)""",
-)
+def _encoded_sql(size: int, length: int) -> str:
+    return f"""WITH t AS (SELECT doc_id, w, i FROM (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, {sql_words("lower(text)")} AS x FROM documents))),
+        v AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) + 1 AS id FROM (SELECT w, count(*) AS n FROM t GROUP BY w ORDER BY n DESC, w LIMIT {size - 2})),
+        e AS (SELECT t.doc_id, array_agg(coalesce(v.id, 1) ORDER BY i) AS ids FROM t LEFT JOIN v USING (w) WHERE i <= {length} GROUP BY t.doc_id)
+        SELECT doc_id, array_to_string(list_resize(coalesce(ids, []), {length}, 0), ' ') AS ids FROM (SELECT doc_id FROM documents) LEFT JOIN e USING (doc_id)"""
+
+
+@register("vocabulary_encoded", _encoded_sql(1000, 16))
 def vocabulary_encoded(spark: SparkSession, d: str) -> DataFrame:
     return _encoded(spark, d, 1000, 16)
 
 
-@register("vocabulary_encoded_whole")
+@register("vocabulary_encoded_whole", _encoded_sql(30_000, 512))
 def vocabulary_encoded_whole(spark: SparkSession, d: str) -> DataFrame:
     """vocabulary_encoded with the reference's 30,000 words and 512 positions."""
     return _encoded(spark, d, 30_000, 512)
