@@ -223,6 +223,30 @@ def model(spark):
     return garble.fit(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_the_model_counts_every_document(spark):
+    rows = spark.range(12_000).selectExpr("id AS doc_id", "concat('caf\u00e9 ', decode(unhex(hex(40960 + id)), 'UTF-16BE')) AS text")
+    fitted = garble.fit(rows)
+    assert (fitted.ids[40960 : 40960 + 12_000] > 0).all()
+
+
+def test_counts_are_those_of_each_text():
+    some = [*CLEAN, "caf\u00e9 caf\u00e9  na\u00efve", "\u4f60\u597d \u4e16\u754c", "plain text", " ", "\u043c\u0438\u0440 \u00e9", ""]
+    got, want = {}, {}
+    for state, before, code, n in garble.counts_of(some):
+        for key in zip([state] * len(n), before.tolist(), code.tolist(), n.tolist(), strict=True):
+            got[key[:3]] = got.get(key[:3], 0) + key[3]
+    odd = [t for t in some if not t.isascii()]
+    for group, times in ((some, garble.PLAIN), ([t.upper() for t in odd], garble.CAPITALS)):
+        for text in filter(None, group):
+            for state in range(garble.SUBSTITUTE):
+                if garble.states_of([text])[0] >> state & 1:
+                    codes = [10, *map(ord, garble.through(text, state)), 10]
+                    folded = [0x4E00 if 0x4E00 <= c <= 0x9FFF else c for c in codes]
+                    for key in [*zip(folded, folded[1:], strict=False), *((-1, c) for c in codes[1:])]:
+                        want[state, *key] = want.get((state, *key), 0) + times
+    assert {k: n for k, n in got.items() if n} == want
+
+
 def test_garbled_texts_come_back(spark, model):
     cases = [("utf-8", "latin-1"), ("utf-8", "cp1252"), ("utf-8", "mac_roman"), ("utf-8", "cp437")]
     rows = [(10 * k + j, garble.garble(t, pair)) for k, t in enumerate(CLEAN[:2]) for j, pair in enumerate(cases)]
