@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions import text as X
-
 
-def _number(*parts: Column | str) -> Column:
-    """A whole number from a digest of the parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws("/", *(p if isinstance(p, Column) else F.lit(p) for p in parts))), 1, 8), 16, 10).cast("bigint")
+def _number(*parts: str | int | None) -> int:
+    """A whole number from a digest of the parts; nulls are left out."""
+    return int.from_bytes(hashlib.md5("/".join(str(p) for p in parts if p is not None).encode()).digest()[:4])
 
 
 #: Words that are never inserted again: the reference's list.
-STOPWORDS = "a an the and or but if of to in on for with as is was are were be been being have has had do does did i you he she it we they this that these those my your his her its our their".split()
+STOPWORDS = frozenset("a an the and or but if of to in on for with as is was are were be been being have has had do does did i you he she it we they this that these those my your his her its our their".split())
 
 
 def augmented(rows: DataFrame, copies: int = 2, alpha: float = 0.1, id_col: str = "doc_id", text_col: str = "text", chosen: Column | None = None) -> DataFrame:
@@ -29,31 +32,39 @@ def augmented(rows: DataFrame, copies: int = 2, alpha: float = 0.1, id_col: str
     key = F.col(id_col).cast("string")
     base = rows.select(key.alias(id_col), F.col(text_col).alias("text"), F.lit(False).alias("augmented"))
     picked = rows.where(F.col(text_col).isNotNull() if chosen is None else F.col(text_col).isNotNull() & chosen)
-    each = picked.select(key.alias("_id"), X.words(text_col).alias("_w"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("_k"))
-    n = F.size("_w")
-    k = F.col("_k").cast("string")
-    each = each.withColumns({"_n": F.greatest(F.lit(1), F.floor(F.lit(alpha) * n).cast("int")), "_op": (_number("start", F.col("_id")) + F.col("_k")) % 3})
-    turns = F.sequence(F.lit(1), F.col("_n"))
-    number = lambda what, i: _number(what, F.col("_id"), k, i.cast("string"))
-    # the places whose numbers come first; a place's number is made once
-    lost = F.slice(F.array_sort(F.transform("_w", lambda w, i: F.struct(number("drop", i).alias("h"), i.alias("i")))), 1, F.least(F.col("_n"), n - 1))
-    each = each.withColumn("_lost", F.when((F.col("_op") == 0) & (n > 1), F.transform(lost, lambda x: x["i"])))
-    drop = F.filter("_w", lambda w, i: ~F.array_contains("_lost", i))
-
-    def swapped(acc: Column, j: Column) -> Column:
-        a = (number("from", j) % n).cast("int")
-        b = ((a + 1 + number("to", j) % (n - 1)) % n).cast("int")
-        return F.transform(acc, lambda w, i: F.when(i == a, F.get(acc, b)).when(i == b, F.get(acc, a)).otherwise(w))
-
-    content = F.filter("_w", lambda w: ~F.lower(w).isin(STOPWORDS))
-
-    def inserted(acc: Column, j: Column) -> Column:
-        at = (number("at", j) % (F.size(acc) + 1)).cast("int")
-        word = F.get(F.col("_content"), (number("word", j) % F.size("_content")).cast("int"))
-        return F.concat(F.slice(acc, 1, at), F.array(word), F.slice(acc, at + 1, F.size(acc)))
-
-    each = each.withColumn("_content", content)
-    swap = F.when(n > 1, F.aggregate(turns, F.col("_w"), swapped)).otherwise(F.col("_w"))
-    insert = F.when(F.size("_content") > 0, F.aggregate(turns, F.col("_w"), inserted)).otherwise(F.col("_w"))
-    changed = F.when(F.col("_op") == 0, F.when(n > 1, drop).otherwise(F.col("_w"))).when(F.col("_op") == 1, swap).otherwise(insert)
-    return base.unionByName(each.select(F.concat("_id", F.lit("_aug"), "_k").alias(id_col), F.array_join(changed, " ").alias("text"), F.lit(True).alias("augmented")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                ids, texts = [], []
+                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    words = text.split()
+                    for k in range(1, copies + 1):
+                        ids.append(None if i is None else f"{i}_aug{k}")
+                        texts.append(" ".join(changed(words, i, k, alpha)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    made = picked.select(key.alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` string, text string")
+    return base.unionByName(made.withColumn("augmented", F.lit(True)))
+
+
+def changed(words: list[str], row: str | None, copy: int, alpha: float) -> list[str]:
+    """The words of the copy of that number."""
+    n, kind = len(words), (_number("start", row) + copy) % 3
+    changes = max(1, math.floor(alpha * n))
+    if kind == 0:
+        # the places whose numbers come first
+        lost = {i for _, i in sorted((_number("drop", row, copy, i), i) for i in range(n))[: min(changes, n - 1)]} if n > 1 else set()
+        return [w for i, w in enumerate(words) if i not in lost]
+    out = list(words)
+    if kind == 1:
+        for j in range(1, changes + 1) if n > 1 else ():
+            a = _number("from", row, copy, j) % n
+            b = (a + 1 + _number("to", row, copy, j) % (n - 1)) % n
+            out[a], out[b] = out[b], out[a]
+        return out
+    content = [w for w in words if w.lower() not in STOPWORDS]
+    for j in range(1, changes + 1) if content else ():
+        out.insert(_number("at", row, copy, j) % (len(out) + 1), content[_number("word", row, copy, j) % len(content)])
+    return out

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +202,31 @@ def test_every_copy_has_its_changes(spark):
     assert kinds == {-1, 0, 1}
 
 
+def test_copies_of_a_long_text_take_steps_in_proportion(spark):
+    text = " ".join(f"w{k}" for k in range(20_000))
+    df = spark.createDataFrame([(k, text) for k in range(6)], "doc_id long, text string")
+    began = time.perf_counter()
+    sizes = {len(r.text.split()) for r in augment.augmented(df, 3).where("augmented").collect()}
+    assert sizes == {18_000, 20_000, 22_000} and time.perf_counter() - began < 30
+
+
+def test_copies_are_the_same_as_ever(spark):
+    rows = [(1, "the cat sat on a mat by the door of our house"), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (None, "x y z"), (4, ""), (5, "of the")]
+    got = {(r.doc_id, r.text) for r in augment.augmented(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0.2).where("augmented").collect()}
+    want = {
+        ("1_aug1", "cat the door on a mat by the sat of our house"),
+        ("1_aug2", "the cat sat on a mat by the door of cat our door house"),
+        ("1_aug3", "the cat sat on a mat by door of our"),
+        ("2_aug1", "gamma beta kappa delta epsilon zeta eta theta iota alpha"),
+        ("2_aug2", "delta alpha beta kappa gamma delta epsilon zeta eta theta iota kappa"),
+        ("2_aug3", "beta gamma delta epsilon zeta theta iota kappa"),
+        *((f"4_aug{k}", "") for k in (1, 2, 3)),
+        *(("5_aug1", "of"), ("5_aug2", "the of"), ("5_aug3", "of the")),
+        *((None, "x y y z"), (None, "x z y"), (None, "x z")),
+    }
+    assert got == want
+
+
 def test_profiles_of_empty_tables(spark):
     empty = spark.createDataFrame([], "text string, label_mbti string, n long")
     assert profile.leakage_stats(empty).first().n == 0
