@@ -421,3 +421,12 @@ def test_nothing_outside_imports_the_subpackage():
     root = pathlib.Path(queries.__file__).parents[1]
     others = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
     assert others and not any(re.search(r"loomtext\.llm|from \.+llm", p.read_text()) for p in others)
+
+
+def test_hits_of_blocks_are_never_gathered_in_lists(spark):
+    rows = [(k, t, None, "s", None, "train" if k % 2 else "test") for k, t in enumerate(texts(5, 6) * 2)]
+    concatenated, _, _ = overlap._concatenated(docs(spark, rows), 8, 40, None)
+    shared = overlap.shared_runs(concatenated)
+    met = shared.where("train").select("block", "place")
+    for df in (overlap.coverage(concatenated, shared, 0.5), overlap._holders(concatenated, met, 8)):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
