@@ -35,7 +35,8 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
     tf = whole.select(id_col, F.explode(F.concat(t, pairs)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     n = whole.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))  # n is one row
-    weighted = tf.join(df, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    # Spark's size estimate knows nothing of the rows that explode adds, and would send all terms to the driver
+    weighted = tf.join(df.hint("merge"), "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators import augment, chain, containment, corpora, evidence, features, knowledge, metrics, models, profile, retrieval, sampling
-from loomtext.session import written
+from loomtext.session import table, written
 from loomtext.sources import readers, sinks
+from tests.oracle import DATA
 
 
 def test_unified_forum_records(spark):
@@ -227,6 +228,11 @@ def test_copies_are_the_same_as_ever(spark):
     assert got == want
 
 
+def test_terms_are_never_broadcast(spark):
+    plan = features.tfidf(table(spark, DATA, "documents"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_profiles_of_empty_tables(spark):
     empty = spark.createDataFrame([], "text string, label_mbti string, n long")
     assert profile.leakage_stats(empty).first().n == 0
