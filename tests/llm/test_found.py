@@ -430,3 +430,16 @@ def test_hits_of_blocks_are_never_gathered_in_lists(spark):
     met = shared.where("train").select("block", "place")
     for df in (overlap.coverage(concatenated, shared, 0.5), overlap._holders(concatenated, met, 8)):
         assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_what_overlaps_leave_out_comes_from_all_documents(spark, tmp_path, monkeypatch):
+    spark.range(12_000).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, build = [], garble.build
+
+    def watched(state, before, code, n):
+        seen.append(n[(state == 0) & (before == -1) & (code == ord("x"))].sum() / getattr(garble, "PLAIN", 1))
+        return build(state, before, code, n)
+
+    monkeypatch.setattr(garble, "build", watched)
+    queries._garbled(spark, str(tmp_path)).count()
+    assert seen == [12_000]
